@@ -39,26 +39,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: Column, out: str, span: int = 4096) -> DataFrame:
-    """Exclusive running sum of value per key in the order of an integer column.
+def running_sum(
+    df: DataFrame, keys: list[str], position: list[str], value: Column, out: str,
+    totals: dict[str, Column] | None = None, span: int = 4096,
+) -> DataFrame:
+    """Exclusive running sum of value per key, in the order of integer columns.
 
-    A key may own a third of all rows, so no window runs over a whole key: rows are summed per
-    (key, order div span), the few bucket totals are accumulated per key, and the rows of one bucket
-    are accumulated by themselves. Rows with a NULL order come first. Equal orders are one step: they
-    get the same sum.
+    position[0] is the main order, the others break its ties. A key may own a third of all rows, so no
+    window runs over a whole key: rows are summed per (key, position[0] div span), the few bucket sums
+    are accumulated per key, and the rows of a bucket by themselves. Rows with a NULL position come
+    first, spread over buckets by the next column. totals: further sums over the whole key, by name.
     """
-    bucket = F.coalesce(F.floor(F.col(order) / F.lit(span)), F.lit(-(1 << 62)))
+    first, *rest = position
+    spare = F.floor(F.col(rest[0]) / F.lit(span)) if rest else F.lit(0)
+    bucket = F.when(F.col(first).isNull(), F.struct(F.lit(0).alias("p"), F.coalesce(spare, F.lit(0)).cast("long").alias("b")))
+    bucket = bucket.otherwise(F.struct(F.lit(1).alias("p"), F.floor(F.col(first) / F.lit(span)).cast("long").alias("b")))
     rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        rows.groupBy(*keys, "_bucket").agg(F.sum("_value").alias("_total"))
-        .withColumn("_before", F.coalesce(F.sum("_total").over(by_bucket), F.lit(0)))
-        .drop("_total")
+    sums = [F.sum("_value").alias("_sum"), *[F.sum(c).alias(f"_t_{n}") for n, c in (totals or {}).items()]]
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_bucket").agg(*sums).select(
+        *keys, "_bucket", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        *[F.sum(f"_t_{n}").over(whole).alias(f"_t_{n}") for n in totals or {}],
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*keys, "_bucket", order)
-    rows = rows.withColumn("_within", F.sum("_value").over(within) - F.sum("_value").over(same))
-    left, right = rows.alias("l"), before.alias("r")
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*position).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("_value").over(within), F.lit(0)))
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
-    joined = left.join(right, on)
-    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._within")).alias(out))
+    return rows.alias("l").join(before.alias("r"), on).select(
+        *[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._within")).alias(out),
+        *[F.col(f"r._t_{n}").alias(n) for n in totals or {}],
+    )
