@@ -9,21 +9,11 @@ from folioflow.common import table
 from folioflow.functions import languages
 from folioflow.functions.text import letters_key, masked, strip_markup, tokens
 from folioflow.operators import catalog, measures, sampling
+from folioflow.plans.register import Register
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a query by the name of its function, with the SQL it is checked against."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Register()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 def _lang(df: DataFrame) -> DataFrame:
