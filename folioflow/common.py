@@ -69,3 +69,19 @@ def running_sum(
         *[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._within")).alias(out),
         *[F.col(f"r._t_{n}").alias(n) for n in totals or {}],
     )
+
+
+def previous(df: DataFrame, keys: list[str], position: list[str], value: str, out: str, span: int = 4096) -> DataFrame:
+    """Value of the row before in the order of integer columns, per key, without a window over a whole key.
+
+    Inside a stretch of span positions it is a lag; the first row of a stretch gets the last value of the stretch before.
+    """
+    first = position[0]
+    rows = df.withColumn("_bucket", F.coalesce(F.floor(F.col(first) / F.lit(span)), F.lit(-(1 << 62))))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*position)
+    rows = rows.withColumn("_lag", F.lag(value).over(inside)).withColumn("_k", F.row_number().over(inside))
+    last = rows.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*[F.coalesce(p, F.lit(-(1 << 62))).alias(f"p{i}") for i, p in enumerate(position)])).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_bucket"))["v"]).drop("_last")
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_bucket"]]
+    joined = rows.alias("l").join(before.alias("r"), on)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], F.when(F.col("l._k") == 1, F.col("r._before")).otherwise(F.col("l._lag")).alias(out))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioflow.common import running_sum
+from folioflow.common import previous, running_sum
 from folioflow.functions.text import join_lines
 
 #: Labels of units and items, signatures and annex headers.
@@ -44,11 +44,7 @@ def point_sequence(blocks: DataFrame) -> DataFrame:
     """Numbered and lettered points with the point before: block_id, label, follows (whether the label is the next one)."""
     label = F.regexp_extract("text", r"^\s*(\d+|[a-z])\)", 1)
     points = blocks.withColumn("label", label).filter("label <> ''")
-    # the neighbour is looked for inside a stretch of 512 places, with one row of the stretch before
-    chunk = F.floor(F.col("seq") / 512)
-    spread = points.withColumn("_own", chunk).withColumn("_part", F.explode(F.array(chunk, chunk + 1)))
-    before = F.lag("label").over(Window.partitionBy("doc_id", "_part").orderBy("seq", "block_id"))
-    seen = spread.withColumn("before", before).filter("_own = _part").drop("_own", "_part")
+    seen = previous(points, ["doc_id"], ["seq", "block_id"], "label", "before")
     number = (F.col("label").try_cast("int") == F.col("before").try_cast("int") + 1)
     letter = (F.length("label") == 1) & (F.length("before") == 1) & (F.ascii("label") == F.ascii("before") + 1) & ~F.col("label").rlike(r"\d")
     return seen.select("doc_id", "block_id", "label", F.coalesce(number | letter, F.lit(False)).alias("follows"))

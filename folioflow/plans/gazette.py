@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.common import table
+from folioflow.common import previous, table
 from folioflow.functions.text import clean_title, masked
 from folioflow.operators import blocks as b
 from folioflow.operators import catalog, layout, measures, sampling
@@ -311,9 +311,9 @@ def block_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT *, regexp_extract(text, '^\\s*([0-9]+|[a-z])\\)', 1) AS label FROM {_BLOCKS}), q AS (SELECT *, floor(seq / 512) AS c FROM p WHERE label <> ''),
-l AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS before, lag(c) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS bc FROM q)
-SELECT doc_id, block_id, label, coalesce(bc >= c - 1 AND (try_cast(label AS INT) = try_cast(before AS INT) + 1 OR (length(label) = 1 AND length(before) = 1 AND NOT regexp_matches(label, '[0-9]') AND ord(label) = ord(before) + 1)), false) AS follows FROM l
+WITH p AS (SELECT *, regexp_extract(text, '^\\s*([0-9]+|[a-z])\\)', 1) AS label FROM {_BLOCKS}),
+l AS (SELECT *, lag(label) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS before FROM p WHERE label <> '')
+SELECT doc_id, block_id, label, coalesce(try_cast(label AS INT) = try_cast(before AS INT) + 1 OR (length(label) = 1 AND length(before) = 1 AND NOT regexp_matches(label, '[0-9]') AND ord(label) = ord(before) + 1), false) AS follows FROM l
 """)
 def point_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return b.point_sequence(_blocks(spark, sf))
@@ -355,11 +355,8 @@ l AS (SELECT *, lag(num) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS be
 """)
 def falling_articles(spark: SparkSession, sf: str) -> DataFrame:
     """Articles whose number does not rise."""
-    from pyspark.sql import Window
-
     nums = _blocks(spark, sf).filter(F.col("text").rlike(r"^Art\. ?[0-9]+")).withColumn("num", F.regexp_extract("text", r"^Art\. ?([0-9]+)", 1).cast("int"))
-    before = F.lag("num").over(Window.partitionBy("doc_id").orderBy("seq", "block_id"))
-    return nums.withColumn("before", before).filter("num <= before").select("doc_id", "block_id", "num", "before")
+    return previous(nums, ["doc_id"], ["seq", "block_id"], "num", "before").filter("num <= before").select("doc_id", "block_id", "num", "before")
 
 
 @query("SELECT kind, count(*) AS n, min(length(text)) AS least, max(length(text)) AS most, list_sort(list(length(text)))[count(*) // 4 + 1] AS q1, median(length(text)) AS median, list_sort(list(length(text)))[3 * count(*) // 4 + 1] AS q3 FROM " + _BLOCKS + " WHERE text IS NOT NULL GROUP BY 1")
