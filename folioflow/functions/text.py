@@ -51,7 +51,7 @@ def plain_form(text: Column) -> Column:
 def strip_markup(text: Column) -> Column:
     """Markdown without front matter, heading marks, note markers, quote marks and emphasis."""
     out = F.regexp_replace(text, r"^---\n(?:[^-]|-[^-]|--[^-])*\n---\n", "")
-    for pattern, new in ((r"(^|\n)#{1,6} +", "$1"), (r"(^|\n)> ?", "$1"), (r"\[\^[^\]]*\]:? ?", ""), (r"\*+", "")):
+    for pattern, new in ((r"(^|\n)#{1,6} +", "$1"), (r"(^|\n)> ?", "$1"), (r"\[\^[^\]]*\](?:: )?", ""), (r"\*+", "")):
         out = F.regexp_replace(out, pattern, new)
     return out
 

@@ -16,8 +16,8 @@ PAGE = ["doc_id", "page"]
 
 def lone_one(text: Column) -> Column:
     """A vertical bar by itself read as 1 behind a unit word or before 'i' and a number."""
-    after = F.regexp_replace(text, r"\b((?:art|ust|pkt|poz|nr|§)\.? )\|(?=[\s.,;)]|$)", "${1}1")
-    return F.regexp_replace(after, r"(^|\s)\|(?= i \d)", "${1}1")
+    after = F.regexp_replace(text, r"(?<=\b(?:art|ust|pkt|poz|nr)\.? |§ )\|(?=[\s.,;)]|$)", "1")
+    return F.regexp_replace(after, r"(?<=^|\s)\|(?= i \d)", "1")
 
 
 def usable(words: str = "words", confidence: str = "confidence") -> Column:

@@ -113,7 +113,7 @@ def line_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^---\\n(?:[^-]|-[^-]|--[^-])*\\n---\\n', '', 'g'), '(^|\\n)#{{1,6}} +', '\\1', 'g'), '(^|\\n)> ?', '\\1', 'g'), '\\[\\^[^\\]]*\\]:? ?', '', 'g'), '\\*+', '', 'g') AS plain, text FROM documents WHERE text IS NOT NULL)
+WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^---\\n(?:[^-]|-[^-]|--[^-])*\\n---\\n', '', 'g'), '(^|\\n)#{{1,6}} +', '\\1', 'g'), '(^|\\n)> ?', '\\1', 'g'), '\\[\\^[^\\]]*\\](?:: )?', '', 'g'), '\\*+', '', 'g') AS plain, text FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(plain) AS digest, len({TOKENS.format('plain')}) AS tokens, length(text) - length(plain) AS removed FROM s
 """)
 def markup_strip(spark: SparkSession, sf: str) -> DataFrame:
