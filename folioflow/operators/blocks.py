@@ -58,9 +58,8 @@ def parts(blocks: DataFrame) -> DataFrame:
 
 
 def document_text(blocks: DataFrame) -> DataFrame:
-    """Texts of all blocks of a document in order (a sink for documents of ordinary size): doc_id, texts."""
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "block_id", "text")))
-    return blocks.groupBy("doc_id").agg(F.transform(ordered, lambda x: x["text"]).alias("texts"))
+    """Texts of all blocks with their place in the document: doc_id, place (from 0), text. One row per block, an act of any size."""
+    return running_sum(blocks, ["doc_id"], ["seq", "block_id"], F.lit(1), "place").select("doc_id", "place", "text")
 
 
 def demote_quoted_annex(blocks: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.common import running_sum
 from folioflow.functions.text import escape_markup
 
 #: Front matter keys in their order and the columns they come from.
@@ -102,13 +103,13 @@ def quote_depths(blocks: list[tuple[str, str]]) -> list[int]:
     return out
 
 
-def to_markdown(blocks: DataFrame, notes: DataFrame, meta: DataFrame) -> DataFrame:
-    """Markdown of each act: doc_id, text.
+def to_markdown(blocks: DataFrame, notes: DataFrame, meta: DataFrame, piece: int = 1_000_000) -> DataFrame:
+    """Markdown of each act in ordered pieces of about piece characters: doc_id, piece_no (from 0), text.
 
     blocks: doc_id, seq, kind, text, part, depth (see parts and quote_depths); notes: doc_id, seq, unique_label, text; meta: act
     metadata with eli, one row per act. Units of depth 0 become headings, annex headers second-level headings, signatures
-    emphasis, text from images quotes; notes follow at the end. Acts are written one text each, so this sink is for acts of
-    ordinary size.
+    emphasis, text from images quotes; notes follow at the end. An act of ordinary size is one piece; the pieces of a
+    larger one, joined by an empty line, are its text, and no task holds more than a piece of it.
     """
     units = heading_unit(blocks)
     text = F.col("text")
@@ -123,6 +124,9 @@ def to_markdown(blocks: DataFrame, notes: DataFrame, meta: DataFrame) -> DataFra
     head = meta.select(F.col("eli").alias("doc_id"), F.lit(0).alias("place"), F.lit(0).alias("seq"), F.array(front_matter(meta), F.concat(F.lit("# "), F.col("title"))).alias("lines"))
     # only acts with text are written
     head = head.join(blocks.select("doc_id").distinct(), "doc_id", "left_semi")
-    parts = F.array_sort(F.collect_list(F.struct("place", "seq", "lines")))
-    rows = head.unionByName(body).unionByName(end).groupBy("doc_id").agg(parts.alias("p"))
-    return rows.select("doc_id", F.array_join(F.flatten(F.transform("p", lambda x: x["lines"])), "\n\n").alias("text"))
+    rows = head.unionByName(body).unionByName(end)
+    rows = rows.withColumn("text", F.array_join("lines", "\n\n")).withColumn("_order", F.col("place") * (1 << 40) + F.coalesce("seq", F.lit(0)))
+    placed = running_sum(rows.select("doc_id", "_order", F.xxhash64("text").alias("_hash"), "text"), ["doc_id"], ["_order", "_hash"], F.length("text") + 2, "_at")
+    parts = F.array_sort(F.collect_list(F.struct("_order", "_at", "text")))
+    grouped = placed.groupBy("doc_id", F.floor(F.col("_at") / piece).cast("int").alias("piece_no")).agg(parts.alias("p"))
+    return grouped.select("doc_id", "piece_no", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from folioflow.plans import core, corpus, gazette
+from folioflow.plans import core, corpus, gazette, structure
 
-_MODULES = [core, corpus, gazette]
+_MODULES = [core, corpus, gazette, structure]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}

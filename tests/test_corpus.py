@@ -116,4 +116,6 @@ def test_markdown(spark):
     meta = spark.createDataFrame([("DU/2020/1", "Ustawa"), ("DU/2020/9", "bez tekstu")], "eli string, title string")
     got = markdown.to_markdown(blocks, notes, meta).collect()
     assert len(got) == 1
-    assert got[0].text == '---\neli: "DU/2020/1"\ntitle: "Ustawa"\n---\n\n# Ustawa\n\n##### Art. 1.\n\nTreść\n\n„Art. 2. cytat\n\n*Minister: X*\n\n## Załącznik nr 1\n\n> \\* x\n\n[^1]: przypis'
+    assert got[0].piece_no == 0 and got[0].text == '---\neli: "DU/2020/1"\ntitle: "Ustawa"\n---\n\n# Ustawa\n\n##### Art. 1.\n\nTreść\n\n„Art. 2. cytat\n\n*Minister: X*\n\n## Załącznik nr 1\n\n> \\* x\n\n[^1]: przypis'
+    cut = markdown.to_markdown(blocks, notes, meta, piece=40).orderBy("piece_no").collect()
+    assert len(cut) > 2 and "\n\n".join(r.text for r in cut) == got[0].text
