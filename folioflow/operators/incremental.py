@@ -100,13 +100,14 @@ def above(df: DataFrame, sequence: str, low: int | None, high: int | None) -> Da
 def run_increment(
     log: CommitLog,
     sources: dict[str, tuple[DataFrame, str]],
-    process: Callable[[dict[str, DataFrame], dict[str, DataFrame] | None], dict[str, DataFrame]],
+    process: Callable[[dict[str, DataFrame], dict[str, DataFrame] | None], dict[str, DataFrame | Callable]],
     upper: dict[str, int | None] | None = None,
 ) -> Commit:
     """One run. sources: name -> (rows, name of the sequence column, a growing integer).
 
     process gets the new rows of each source and the outputs of the last commit (None at the first
-    run) and returns the outputs by name. Rows without a sequence are given to every run, so process
+    run) and returns the outputs by name. An output that rests on others of the same run is a function of
+    them: it gets the written ones by name, so that nothing is computed twice. Rows without a sequence are given to every run, so process
     has to take the same row twice without a change of its result; the last state does the rest.
     upper fixes the limits; the default is the highest sequence at the start.
     """
@@ -119,11 +120,13 @@ def run_increment(
     batch = {n: above(df, seq, low.get(n), high.get(n)) for n, (df, seq) in sources.items()}
     version = last.version + 1 if last else 1
     state = {n: spark.read.parquet(p) for n, p in last.outputs.items()} if last else None
-    outputs = {}
+    outputs, written = {}, {}
     for name, df in process(batch, state).items():
+        df = df(written) if callable(df) else df
         path = log.output_path(version, name)
         df.write.parquet(path)
         outputs[name] = path
+        written[name] = spark.read.schema(df.schema).parquet(path)
     commit = Commit(version, mark, outputs)
     log.commit(commit)
     return commit
@@ -184,11 +187,12 @@ def plan_process(batch: dict[str, DataFrame], state: dict[str, DataFrame] | None
     if state:
         listings = listings.unionByName(state["listings"])
         settled = settled.unionByName(state["settled"])
-    newest = newest_listings(listings)
-    settled = settled.distinct()
-    wanted = newest.filter("text_pdf and not coalesce(text_html, false)")
-    plan = wanted.join(settled, ["eli", "changed_us"], "left_anti").select("eli", "changed_us")
-    return {"listings": newest, "settled": settled, "plan": plan}
+
+    def plan(written: dict[str, DataFrame]) -> DataFrame:
+        wanted = written["listings"].filter("text_pdf and not coalesce(text_html, false)")
+        return wanted.join(written["settled"], ["eli", "changed_us"], "left_anti").select("eli", "changed_us")
+
+    return {"listings": newest_listings(listings), "settled": settled.distinct(), "plan": plan}
 
 
 def refresh_plan(log: CommitLog, acts_meta: DataFrame, index_log: DataFrame, releases: DataFrame, upper: dict | None = None) -> DataFrame:
