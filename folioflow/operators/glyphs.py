@@ -216,3 +216,35 @@ def clean(chars: DataFrame) -> DataFrame:
     rows = drop_watermarks(chars).withColumn("text", single_math(F.col("text"), F.col("fontname")))
     rows = drop_drawn_twice(drop_soft_blanks(rows))
     return merged_sizes(rows).withColumn("text", plain_math(mac_polish(F.col("text"), F.col("fontname"))))
+
+
+def _glued(words: DataFrame, fits: Column, opening: str, closing: str, change) -> DataFrame:
+    """Words with the small words that fit behind them taken in, chains included. words: doc_id, page, row, word_id, text, x0, x1, top, bottom, size."""
+    order = Window.partitionBy(*PAGE, "row").orderBy("x0", "word_id")
+    before = {f"_{c}": F.lag(c).over(order) for c in ("text", "x1", "top", "bottom", "size")}
+    rows = words.withColumns(before)
+    # a chain keeps the measure of the word that it began with
+    joined = rows.withColumn("_small", F.coalesce(fits, F.lit(False)))
+    chain = F.coalesce(F.lag("_small").over(order) & (F.col("x0") - F.col("_x1") < 1.5) & (F.abs(F.col("size") - F.col("_size")) < 0.5), F.lit(False))
+    joined = joined.withColumn("_small", F.col("_small") | chain)
+    numbered = joined.withColumn("_g", F.sum((~F.col("_small")).cast("int")).over(order))
+    parts = F.array_sort(F.collect_list(F.struct("x0", "word_id", "_small", "text")))
+    grouped = numbered.groupBy(*PAGE, "row", "_g").agg(parts.alias("p"), F.min("word_id").alias("word_id"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("size").alias("size"))
+    text = lambda small: F.array_join(F.transform(F.filter("p", lambda x: x["_small"] == small), lambda x: x["text"]), "")
+    tail = text(F.lit(True))
+    full = F.concat(text(F.lit(False)), F.when(tail == "", "").otherwise(F.concat(F.lit(opening), change(tail), F.lit(closing))))
+    return grouped.select(*PAGE, "row", "word_id", full.alias("text"), "x0", "x1", "size")
+
+
+def index_words(words: DataFrame) -> DataFrame:
+    """Small raised words glued to the letter or digit before them, in brackets: 30 and a raised f are '30[f]'."""
+    near = (F.col("x0") - F.col("_x1")).between(-2, 1.5) & F.col("_text").rlike(r"[\p{L}\p{N}]$")
+    raised = (F.col("size") < 0.8 * F.col("_size")) & (F.col("bottom") < F.col("_bottom") - 0.15 * (F.col("_bottom") - F.col("_top")))
+    return _glued(words, near & raised, "[", "]", lambda t: t)
+
+
+def lowered_words(words: DataFrame) -> DataFrame:
+    """Small words below the middle of the word before them, as lowered digits where they are digits: CO and 2 are 'CO₂'."""
+    near = (F.col("x0") - F.col("_x1")).between(-2, 1.5)
+    low = (F.col("size") < 0.8 * F.col("_size")) & (F.col("top") > (F.col("_top") + F.col("_bottom")) / 2)
+    return _glued(words, near & low, "", "", lambda t: F.translate(t, "0123456789", "₀₁₂₃₄₅₆₇₈₉"))

@@ -63,3 +63,10 @@ def test_boxes_and_images(spark):
     assert g.text_images(low, cover).first().read and g.hidden_scans(low, cover).count() == 0
     placed = low.withColumns({"placed": F.lit(True), "ph": F.lit(842.0), "min_gray": F.lit(200)})
     assert g.hidden_glyphs(placed).count() == 1
+
+
+def test_raised_and_lowered_words(spark):
+    rows = [("d", 1, 1, 1, "30", 0.0, 12.0, 10.0, 20.0, 10.0), ("d", 1, 1, 2, "f", 12.5, 15.0, 9.0, 15.0, 6.0), ("d", 1, 1, 3, "dalej", 20.0, 40.0, 10.0, 20.0, 10.0), ("d", 1, 2, 4, "CO", 0.0, 12.0, 30.0, 40.0, 10.0), ("d", 1, 2, 5, "2", 12.2, 15.0, 36.0, 42.0, 6.0), ("d", 1, 2, 6, "1", 15.1, 17.0, 36.0, 42.0, 6.0)]
+    df = spark.createDataFrame(rows, "doc_id string, page int, row int, word_id int, text string, x0 double, x1 double, top double, bottom double, size double")
+    assert [r.text for r in g.index_words(df.filter("row = 1")).orderBy("word_id").collect()] == ["30[f]", "dalej"]
+    assert [r.text for r in g.lowered_words(df.filter("row = 2")).orderBy("word_id").collect()] == ["CO₂₁"]
