@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -246,7 +247,7 @@ def find_leaks(
 
 def _scan(texts: DataFrame, items: list[tuple[int, str]], kind: str, id_type: pa.DataType, least: int, share: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(items)
-    name = f"{shared.id if hasattr(shared, 'id') else id(shared)}-{least}-{share}-{hash(tuple(items))}"
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _loaded:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -252,7 +253,7 @@ class Repairer:
         return restored, how or None, lost
 
 
-_loaded: dict[int, Repairer] = {}
+_loaded: dict[str, Repairer] = {}
 
 
 def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample: DataFrame | None = None) -> DataFrame:
@@ -271,7 +272,7 @@ def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample:
     letters = collect_model(letter_counts(sample if sample is not None else rows))
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(letters.counts)
-    number = id(shared)
+    number = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if number not in _loaded:
