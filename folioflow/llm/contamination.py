@@ -182,7 +182,8 @@ class Items:
     def _extend(self, item: int, seq: tuple[int, ...], hits: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
         own = self.words[item]
         hits.sort(key=lambda h: (h[0] - h[1], h[1]))
-        diagonals = [d - k for d, k in hits]
+        places = [(d - k, k) for d, k in hits]
+        diagonals = [x for x, _ in places]
         needed, span = self._needed(), self.least
         few = self.least // self.share
         longest = len(own) // self.share
@@ -195,8 +196,8 @@ class Items:
             near = bisect_right(diagonals, diagonal + longest) - bisect_left(diagonals, diagonal - longest)
             most = min(longest, (near + SEED - 1) // (self.share - SEED)) if self.share > SEED else longest
             if most <= few:
-                lo, hi = bisect_left(diagonals, diagonal - few), bisect_right(diagonals, diagonal + few)
-                if hi - lo < needed or sum([-span <= h[1] - k <= span for h in hits[lo:hi]]) < needed:
+                inside = sum(bisect_right(places, (x, k + span)) - bisect_left(places, (x, k - span)) for x in range(diagonal - few, diagonal + few + 1))
+                if inside < needed:
                     continue
             right = _reach(own, k, seq, d, 1, most)
             left = _reach(own, k - 1, seq, d - 1, -1, most)

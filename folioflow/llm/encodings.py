@@ -163,7 +163,7 @@ class Repairer:
         found = self.cache.get(token)
         if found is None:
             # numbers with signs (coordinates, formulas) are no words
-            word = not token.isascii() and 4 * sum(c.isdigit() for c in token) < len(token)
+            word = len(token) <= 60 and not token.isascii() and 4 * sum(c.isdigit() for c in token) < len(token)
             found = self._weigh(token) if word else []
             if len(self.cache) < 1_000_000:
                 self.cache[token] = found
@@ -225,7 +225,7 @@ class Repairer:
         parts = re.split(r"(\s+)", text)
         for i in range(0, len(parts), 2):
             t = parts[i]
-            if t and not t.isascii():
+            if t and len(t) <= 60 and not t.isascii():
                 changed = t.translate(table)
                 # the row's encodings are settled; a token follows if it gains at all
                 if changed != t and self._total(t) - self._total(changed) >= self.EACH:
@@ -236,6 +236,8 @@ class Repairer:
         if _LOST.search(text):
             return True
         for m in _LOST_END.finditer(text):
+            if len(m.group(1)) > 60:
+                continue
             # the word is likelier with a letter outside ASCII in this place than as it stands
             word = plain_token(m.group(1))
             if sum(self.letters.costs(word)) > 1.0 + min((sum(self.letters.costs(word + c)) for c in self.ends), default=math.inf):
