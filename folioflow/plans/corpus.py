@@ -180,15 +180,15 @@ def paragraph_diff(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:Art[.]|§) ?([0-9]+[a-z]?[¹²³⁴⁵⁶⁷⁸⁹⁰]*)', 1)) AS num FROM documents),
-f AS (SELECT doc_id, num, translate(num, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS flat FROM u)
-SELECT doc_id, flat, count(DISTINCT num) AS numbers FROM f GROUP BY 1, 2 HAVING count(DISTINCT num) > 1
+WITH u AS (SELECT tree_id, unnest(regexp_extract_all(tree, '"num": ?"([0-9]+[a-z]?[¹²³⁴⁵⁶⁷⁸⁹⁰]*)"', 1)) AS num FROM act_trees),
+f AS (SELECT tree_id, num, translate(num, '⁰¹²³⁴⁵⁶⁷⁸⁹', '0123456789') AS flat FROM u)
+SELECT tree_id, flat, count(DISTINCT num) AS numbers FROM f GROUP BY 1, 2 HAVING count(DISTINCT num) > 1
 """)
 def flat_collisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Unit numbers of a document that are equal once raised digits are written as plain ones."""
-    nums = table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(?:Art[.]|§) ?([0-9]+[a-z]?[¹²³⁴⁵⁶⁷⁸⁹⁰]*)"), F.lit(1))).alias("num"))
+    """Unit numbers of a record that are equal once raised digits are written as plain ones."""
+    nums = table(spark, sf, "act_trees").select("tree_id", F.explode(F.regexp_extract_all("tree", F.lit('"num": ?"([0-9]+[a-z]?[¹²³⁴⁵⁶⁷⁸⁹⁰]*)"'), F.lit(1))).alias("num"))
     flat = nums.withColumn("flat", F.translate("num", "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"))
-    return flat.groupBy("doc_id", "flat").agg(F.countDistinct("num").alias("numbers")).filter("numbers > 1")
+    return flat.groupBy("tree_id", "flat").agg(F.countDistinct("num").alias("numbers")).filter("numbers > 1")
 
 
 @query()

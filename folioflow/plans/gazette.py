@@ -350,13 +350,13 @@ def note_references(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH u AS (SELECT doc_id, seq, block_id, CAST(regexp_extract(text, '^Art\\. ?([0-9]+)', 1) AS INT) AS num FROM {_BLOCKS} WHERE regexp_matches(text, '^Art\\. ?[0-9]+')),
-l AS (SELECT *, lag(num) OVER (PARTITION BY doc_id ORDER BY seq, block_id) AS before FROM u) SELECT doc_id, block_id, num, before FROM l WHERE num <= before
+WITH u AS (SELECT doc_id, seq, line_id, CAST(regexp_extract(text, '^§ ?([0-9]+)', 1) AS INT) AS num FROM {_LINES} WHERE regexp_matches(text, '^§ ?[0-9]+')),
+l AS (SELECT *, lag(num) OVER (PARTITION BY doc_id ORDER BY seq, line_id) AS before FROM u) SELECT doc_id, line_id, num, before FROM l WHERE num <= before
 """)
-def falling_articles(spark: SparkSession, sf: str) -> DataFrame:
-    """Articles whose number does not rise."""
-    nums = _blocks(spark, sf).filter(F.col("text").rlike(r"^Art\. ?[0-9]+")).withColumn("num", F.regexp_extract("text", r"^Art\. ?([0-9]+)", 1).cast("int"))
-    return previous(nums, ["doc_id"], ["seq", "block_id"], "num", "before").filter("num <= before").select("doc_id", "block_id", "num", "before")
+def falling_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Sections whose number does not rise."""
+    nums = _lines(spark, sf).filter(F.col("text").rlike(r"^§ ?[0-9]+")).withColumn("num", F.regexp_extract("text", r"^§ ?([0-9]+)", 1).cast("int"))
+    return previous(nums, ["doc_id"], ["seq", "line_id"], "num", "before").filter("num <= before").select("doc_id", "line_id", "num", "before")
 
 
 @query("SELECT kind, count(*) AS n, min(length(text)) AS least, max(length(text)) AS most, list_sort(list(length(text)))[count(*) // 4 + 1] AS q1, median(length(text)) AS median, list_sort(list(length(text)))[3 * count(*) // 4 + 1] AS q3 FROM " + _BLOCKS + " WHERE text IS NOT NULL GROUP BY 1")

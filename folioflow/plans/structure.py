@@ -106,19 +106,19 @@ def marker_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH u AS (SELECT doc_id, regexp_extract(text, '^§ ?([0-9]+[a-z]?)', 1) AS num FROM {_BLOCKS} WHERE regexp_matches(text, '^§ ?[0-9]+'))
+WITH u AS (SELECT doc_id, regexp_extract(text, '^§ ?([0-9]+[a-z]?)', 1) AS num FROM {_LINES} WHERE regexp_matches(text, '^§ ?[0-9]+'))
 SELECT doc_id, num, count(*) AS n FROM u GROUP BY ALL HAVING count(*) > 1
 """)
 def repeated_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Unit numbers that an act has more than once."""
-    nums = _blocks(spark, sf).filter(F.col("text").rlike("^§ ?[0-9]+")).withColumn("num", F.regexp_extract("text", "^§ ?([0-9]+[a-z]?)", 1))
+    nums = _lines(spark, sf).filter(F.col("text").rlike("^§ ?[0-9]+")).withColumn("num", F.regexp_extract("text", "^§ ?([0-9]+[a-z]?)", 1))
     return nums.groupBy("doc_id", "num").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query(f"SELECT doc_id, count(*) AS headers, min(seq) AS first_seq, max(seq) AS last_seq FROM {_LINES} WHERE text = upper(text) AND regexp_matches(text, '[A-ZĄĆĘŁŃÓŚŹŻ]{{4,}}') GROUP BY 1 HAVING count(*) >= 2")
+@query(f"SELECT doc_id, count(*) AS headers, min(seq) AS first_seq, max(seq) AS last_seq FROM {_LINES} WHERE regexp_matches(text, '^[^a-z]*[A-ZĄĆĘŁŃÓŚŹŻ]{{4,}} ') GROUP BY 1 HAVING count(*) >= 2")
 def capital_headers(spark: SparkSession, sf: str) -> DataFrame:
-    """Acts with two lines in capitals or more."""
-    capitals = _lines(spark, sf).filter((F.col("text") == F.upper("text")) & F.col("text").rlike("[A-ZĄĆĘŁŃÓŚŹŻ]{4,}"))
+    """Acts with two lines or more that begin in capitals."""
+    capitals = _lines(spark, sf).filter(F.col("text").rlike("^[^a-z]*[A-ZĄĆĘŁŃÓŚŹŻ]{4,} "))
     return capitals.groupBy("doc_id").agg(F.count("*").alias("headers"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).filter("headers >= 2")
 
 
