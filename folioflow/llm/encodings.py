@@ -150,6 +150,8 @@ class Repairer:
 
     #: A row changes if its best pair gains so much (natural logarithm); a token of it if it gains so much.
     LEAST, EACH = 5.0, 0.7
+    #: The same where only signs inside words change (a raised figure for a letter): they need less.
+    LEAST_SIGNS = 3.0
     #: Cost from which a letter outside ASCII is looked at.
     ODD = 4.0
 
@@ -163,7 +165,7 @@ class Repairer:
         found = self.cache.get(token)
         if found is None:
             # numbers with signs (coordinates, formulas) are no words
-            word = len(token) <= 60 and not token.isascii() and 4 * sum(c.isdigit() for c in token) < len(token)
+            word = len(token) <= 60 and not token.isascii() and any(c.isalpha() for c in token) and 4 * sum(c.isdigit() for c in token) < len(token)
             found = self._weigh(token) if word else []
             if len(self.cache) < 1_000_000:
                 self.cache[token] = found
@@ -213,11 +215,13 @@ class Repairer:
         for label, table in PAIRS:
             if label not in gains:
                 continue
-            total = 0.0
+            total, signs = 0.0, True
             for t in tokens:
                 changed = t.translate(table)
-                total += next((gain for _, other, gain, _ in token_of(t) if other == changed), 0.0)
-            if total >= self.LEAST and total > best:
+                gain = next((gain for _, other, gain, _ in token_of(t) if other == changed), 0.0)
+                total += gain
+                signs = signs and not (gain and any(a != b and a.isalpha() for a, b in zip(t, changed)))
+            if total >= (self.LEAST_SIGNS if signs else self.LEAST) and total > best:
                 best, name = total, label
         if name is None:
             return text, None
