@@ -85,4 +85,21 @@ SELECT eli FROM newest WHERE text_pdf AND NOT coalesce(text_html, false)
 AND NOT EXISTS (SELECT 1 FROM done WHERE done.eli = newest.eli AND done.changed_us = newest.changed_us)
 """
 
-ORACLE = {"p2_found": _PLAN_SQL, "p2_increments": _PLAN_SQL}
+_NODES_SQL = """
+WITH RECURSIVE raw AS (SELECT DISTINCT tree_id, tree FROM act_trees WHERE tree IS NOT NULL),
+s1 AS (SELECT tree_id, tree, try_cast(tree AS JSON) AS j FROM raw),
+s2 AS (SELECT tree_id, CASE WHEN json_type(j) = 'VARCHAR' THEN try_cast(json_extract_string(j, '$') AS JSON) ELSE j END AS j FROM s1 WHERE json_valid(tree)),
+d AS (SELECT tree_id, j FROM s2 WHERE json_type(j) = 'OBJECT'),
+x AS (SELECT tree_id, j -> '$.annexes' AS a FROM d),
+al AS (SELECT tree_id, CASE json_type(a) WHEN 'ARRAY' THEN CAST(a AS JSON[]) WHEN 'OBJECT' THEN [a] WHEN 'VARCHAR' THEN [a] ELSE [] END AS items FROM x),
+an AS (SELECT tree_id, unnest(f) AS a, generate_subscripts(f, 1) AS k FROM (SELECT tree_id, list_filter(items, lambda i: json_type(i) IN ('OBJECT', 'VARCHAR')) AS f FROM al)),
+parts AS (SELECT tree_id, 0 AS p, 'body' AS act_part, j -> '$.body' AS v FROM d UNION ALL SELECT tree_id, k, 'annex_' || k, a -> '$.body' FROM an WHERE json_type(a) = 'OBJECT'),
+top AS (SELECT tree_id, p, act_part, list_filter(CASE json_type(v) WHEN 'ARRAY' THEN CAST(v AS JSON[]) WHEN 'OBJECT' THEN [v] WHEN 'VARCHAR' THEN [v] ELSE [] END, lambda i: json_type(i) IN ('OBJECT', 'VARCHAR')) AS f FROM parts),
+n AS (SELECT tree_id, act_part, [p, o] AS path, i AS v, o AS ord FROM (SELECT tree_id, p, act_part, unnest(f) AS i, generate_subscripts(f, 1) AS o FROM top)
+UNION ALL SELECT tree_id, act_part, list_append(path, o), i, o FROM (SELECT tree_id, act_part, path, unnest(f) AS i, generate_subscripts(f, 1) AS o FROM (
+SELECT tree_id, act_part, path, list_filter(CASE json_type(v -> '$.children') WHEN 'ARRAY' THEN CAST(v -> '$.children' AS JSON[]) WHEN 'OBJECT' THEN [v -> '$.children'] WHEN 'VARCHAR' THEN [v -> '$.children'] ELSE [] END, lambda i: json_type(i) IN ('OBJECT', 'VARCHAR')) AS f FROM n WHERE json_type(v) = 'OBJECT'))),
+m AS (SELECT tree_id, act_part, path, ord, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY path) AS INT) AS node_id FROM n)
+SELECT m.tree_id, m.act_part, m.node_id, coalesce(u.node_id, 0) AS parent_id, CAST(m.ord AS INT) AS ord FROM m LEFT JOIN m u ON u.tree_id = m.tree_id AND u.path = m.path[1:len(m.path) - 1] AND len(m.path) > 2
+"""
+
+ORACLE = {"p1_found": _NODES_SQL, "p2_found": _PLAN_SQL, "p2_increments": _PLAN_SQL}
