@@ -6,6 +6,10 @@ subject and language. The centroids are refined on the sentences of all document
 is clearly nearer to one subject than to any other moves its centroid. A document has the subjects that
 hold a stated share of its sentences that treat any subject.
 
+The function words of a text tell its language. Where they don't (none, as many of another language, or
+a lead of one word only, which short texts of any language reach by chance), the text has the language
+that knows most of its words, as function words or as kept terms.
+
 All counts and sums run over all documents. What reaches the driver is bounded by parameters: the terms
 of a language (at most max_terms), the dimensions, and the labelled rows (at most max_labels). Sums are
 formed in each partition and added up in a tree.
@@ -48,10 +52,12 @@ class _Words(dict):
 
     def __init__(self) -> None:
         self.stops: dict[str, int] = {}
+        self.shared: dict[str, list[int]] = {}
         for code, name in enumerate(LANGUAGES):
             for w in STOP_WORDS[name].split():
                 # a word of several languages tells nothing
                 self.stops[w] = -1 if w in self.stops else code
+                self.shared.setdefault(w, []).append(code)
 
     def __missing__(self, word: str) -> tuple[int, int]:
         feature = zlib.crc32(word.encode()) & 0x7FFFFFFF if len(word) > 2 else -1
@@ -68,15 +74,20 @@ class _Letters(dict):
         return self[code]
 
 
-def sentence_features(text: str, words: dict, letters: dict) -> tuple[int, list[list[int]]]:
-    """Language code (-1: unknown) and the distinct features of each sentence; heading lines are left out."""
+def _body(text: str) -> str:
+    """Text without heading lines, words cut at the end of a line closed."""
     if "#" in text:
         text = _HEADING.sub("", text)
     if "-\n" in text or "¬" in text or "­" in text or "‐" in text:
         text = _HYPHEN.sub("", text)
+    return text
+
+
+def _features(text: str, words: dict, letters: dict) -> tuple[list[int], list[list[int]]]:
+    """Function words of each language and the distinct features of each sentence."""
     counts = [0] * len(LANGUAGES)
     out = []
-    for sentence in _BREAK.split(text):
+    for sentence in _BREAK.split(_body(text)):
         own = [words[w] for w in sentence.lower().translate(letters).split()]
         for _, code in own:
             if code >= 0:
@@ -85,26 +96,55 @@ def sentence_features(text: str, words: dict, letters: dict) -> tuple[int, list[
         features.discard(-1)
         if features:
             out.append(list(features))
-    best = max(counts)
-    return (counts.index(best) if best else -1), out
+    return counts, out
+
+
+def _leader(counts: list[int]) -> tuple[int, int]:
+    """Language of most function words (-1: none or a tie) and its lead over the next."""
+    second, best = sorted(counts)[-2:]
+    return (counts.index(best) if best > second else -1), best - second
+
+
+def sentence_features(text: str, words: dict, letters: dict) -> tuple[int, list[list[int]]]:
+    """Language code (-1: the function words don't tell) and the distinct features of each sentence; heading lines are left out."""
+    counts, out = _features(text, words, letters)
+    return _leader(counts)[0], out
+
+
+_CLEAR = 2  # lead in function words from which they decide the language alone
 
 
 def _tokenise(df: DataFrame, key: str) -> DataFrame:
-    source = df.select(F.col(key).cast("long").alias("doc"), F.col("text").alias("text")).filter("text <> ''")
+    """hits: function words of each language, those of several languages included, where they don't decide; else empty. hint: language stated."""
+    code = F.lit(None).cast("int")
+    if "lang" in df.columns:
+        stated = F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]{2})([-_].*)?$", 1)
+        code = F.create_map(*[x for i, name in enumerate(LANGUAGES) for x in (F.lit(name), F.lit(i))])[stated]
+    hint = F.coalesce(code, F.lit(-1)).alias("hint")
+    source = df.select(F.col(key).cast("long").alias("doc"), F.col("text").alias("text"), hint).filter("text <> ''")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, letters = _Words(), _Letters()
         for batch in batches:
-            lang, ids, sizes = [], [], []
+            lang, ids, sizes, hits = [], [], [], []
             for text in batch.column(1).to_pylist():
-                code, sentences = sentence_features(text, words, letters)
+                counts, sentences = _features(text, words, letters)
+                code, ahead = _leader(counts)
+                if ahead < _CLEAR:
+                    found = [c for w in _body(text).lower().translate(letters).split() for c in words.shared.get(w, ())]
+                    counts = np.bincount(found, minlength=len(LANGUAGES)).tolist()
+                hits.append(counts if ahead < _CLEAR else [])
                 lang.append(code)
                 ids.append([f for s in sentences for f in s])
                 sizes.append([len(s) for s in sentences])
             arrays = [batch.column(0), pa.array(lang, pa.int32()), pa.array(ids, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lang", "ids", "sizes"])
+            arrays += [pa.array([not h for h in hits], pa.bool_()), pa.array(hits, pa.list_(pa.int32())), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lang", "ids", "sizes", "clear", "hits", "hint"])
 
-    return source.mapInArrow(run, "doc long, lang int, ids array<int>, sizes array<int>")
+    return source.mapInArrow(run, f"{_TOKENS}, clear boolean, hits array<int>, hint int")
+
+
+_TOKENS = "doc long, lang int, ids array<int>, sizes array<int>"
 
 
 class Block:
@@ -148,9 +188,9 @@ def _count(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _vocabulary(tokens: DataFrame, least_share: float, most_share: float, max_terms: int) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary(counts: DataFrame, least_share: float, most_share: float, max_terms: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys (language << 32 | feature) and their weights, the logarithm of inverse document frequency."""
-    counts = materialize(_count(tokens), "terms").withColumn("lang", F.shiftright("key", 32))
+    counts = counts.withColumn("lang", F.shiftright("key", 32))
     total = counts.filter(F.col("key").bitwiseAND(0xFFFFFFFF) == 0x80000000).select("lang", F.col("n").alias("docs"))
     terms = counts.filter(F.col("key").bitwiseAND(0xFFFFFFFF) != 0x80000000)
     share = F.col("n") / F.col("docs")
@@ -162,6 +202,31 @@ def _vocabulary(tokens: DataFrame, least_share: float, most_share: float, max_te
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32)
 
 
+def _settle(unclear: DataFrame, keys: np.ndarray) -> DataFrame:
+    """Language of texts whose function words don't decide: the one that knows most of their words.
+
+    Of languages that know as many, the one of most function words, then the one stated with the document, then the one of
+    most kept terms. A text without a known word has the language stated.
+    """
+    shared = unclear.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, terms = (shared.value >> 32).astype(np.int64), shared.value & 0xFFFFFFFF
+        codes = np.arange(len(LANGUAGES))
+        own = [terms[lang == c] for c in codes]
+        size = np.array([len(t) for t in own])
+        for batch in batches:
+            chosen = []
+            for ids, hits, hint in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), batch.column(6).to_pylist()):
+                hits, stated = np.array(hits), codes == hint
+                known = hits + [len(np.intersect1d(ids, t)) for t in own]
+                chosen.append(int(np.lexsort((size, stated, hits, known))[-1]) if known.any() else hint)
+            arrays = [batch.column(0), pa.array(chosen, pa.int32()), batch.column(2), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lang", "ids", "sizes"])
+
+    return unclear.mapInArrow(run, _TOKENS)
+
+
 def _remap(tokens: DataFrame, keys: np.ndarray) -> DataFrame:
     """Features as places in the vocabulary; others are left out, sentences stay."""
     shared = tokens.sparkSession.sparkContext.broadcast(keys)
@@ -185,7 +250,7 @@ def _remap(tokens: DataFrame, keys: np.ndarray) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lang", "ids", "sizes"])
 
-    return tokens.mapInArrow(run, "doc long, lang int, ids array<int>, sizes array<int>")
+    return tokens.mapInArrow(run, _TOKENS)
 
 
 def _sum_rows(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
@@ -367,7 +432,8 @@ def assign_subjects(
 
     A sentence treats the subject whose centroid is nearest if its cosine leads that of every other
     subject by lead. A row for each subject with at least share of the treated sentences; documents
-    without text, without such sentences or in a language without labelled documents have none. Labels
+    without text, without such sentences or in a language without labelled documents have none. A column
+    lang, if there is one, decides only between languages that know as many words of a text. Labels
     that are NULL or name no row of subjects are ignored; case and outer blanks don't matter. Documents
     delivered twice (same id) give their rows once. Other columns are left out.
     """
@@ -378,7 +444,15 @@ def assign_subjects(
         raise ValueError("more than 10,000 subjects")
     shown = {r[0].strip().lower(): r[0] for r in subjects.select("subject").filter("subject is not null").distinct().collect()}
     tokens = materialize(_tokenise(documents, key), "tokens")
-    keys, weights = _vocabulary(tokens, least_share, most_share, max_terms)
+    counts = materialize(_count(tokens), "terms")
+    keys, _ = _vocabulary(counts, least_share, most_share, max_terms)
+    unclear = tokens.filter("not clear")
+    settled = materialize(_settle(unclear, keys), "settled")
+    # documents that found their language, or another one, count there
+    moved = _count(unclear).withColumn("n", -F.col("n")).unionByName(_count(settled))
+    counts = materialize(counts.unionByName(moved).groupBy("key").agg(F.sum("n").alias("n")).filter("n > 0"), "terms")
+    keys, weights = _vocabulary(counts, least_share, most_share, max_terms)
+    tokens = tokens.filter("clear").select("doc", "lang", "ids", "sizes").unionByName(settled)
     rows = materialize(_remap(tokens, keys), "terms")
     model = train(rows, keys, weights, _labels(labels, key, names, max_labels), names, dims, passes, rounds, lead)
     shared = spark.sparkContext.broadcast(model)

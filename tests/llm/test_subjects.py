@@ -57,3 +57,38 @@ def test_empty(spark):
     assert assign_subjects(d, s, l).count() == 0
     assert assign_subjects(d.limit(0), s, l).count() == 0
     assert assign_subjects(d, s.limit(0), l).count() == 0
+
+
+def test_one_sentence_texts(spark):
+    """No function word, as many of another language, or one of another language only: the vocabularies decide."""
+    english = {"sport": "club match league coach stadium medal", "taxes": "levy charge relief invoice return customs", "science": "trial sample laboratory hypothesis measure doctorate"}
+    common = "office party motion plan register rating manager date".split()
+
+    def foreign(rng, subject):
+        words = rng.sample(english[subject].split(), 3) + rng.sample(common, 4) + ["the", "shall", "which"]
+        rng.shuffle(words)
+        return " ".join(words).capitalize() + "."
+
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(600):
+        subject = rng.choice(sorted(NOUNS))
+        docs.append((i, " ".join((sentence if i % 2 else foreign)(rng, subject) for _ in range(3)), None))
+        labels += [(i, subject)] * (i < 120)
+    short = [
+        (1001, "Trener wskazuje stadion oraz mecz, to liga the.", None, "sport"),
+        (1002, "Urząd ocenia podatek, faktura i ulga.", None, "taxes"),
+        (1003, "Urząd ocenia podatek faktura ulga.", "en", "taxes"),
+        (1004, "Jeżeli kierownik ocenia hipoteza, to próbka laboratorium doktorat.", "und", "science"),
+        (1005, "Kierownik ocenia plan to hipoteza laboratorium doktorat.", None, "science"),
+        (1006, "Coach stadium medal office plan.", None, "sport"),
+    ]
+    docs += [r[:3] for r in short] + [(1007, "Xyz abc.", "pl"), (1008, "Xyz abc.", None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    s = spark.createDataFrame([(k,) for k in NOUNS], "subject string")
+    l = spark.createDataFrame(labels, "doc_id long, subject string")
+    got = {}
+    for r in assign_subjects(d, s, l, dims=8, least_share=0.001, most_share=0.6).collect():
+        got.setdefault(r.doc_id, set()).add(r.subject)
+    assert {i: got.get(i) for i, *_ in short} == {i: {subject} for i, _, _, subject in short}
+    assert not {1007, 1008} & set(got)
