@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from folioflow.operators import blocks as b
@@ -93,6 +95,26 @@ def test_segment(spark):
     assert segment(spark, [(None, {}), ("", {})]) == []
 
 
+def test_segment_stretches(spark):
+    """Any length of the stretches gives the same paragraphs."""
+    rng = random.Random(3)
+    kinds = [
+        ("ciąg dalszy doku-", {}), ("menty i dalej", {}), ("zdanie kończy się.", {"x1": 120.0}), ("§ 4. Jednostka", {}), ("1) punkt", {}), ("Załącznik nr 2", {"x0": 400.0}),
+        ("Załącznik nr 3", {}), ("Minister: A", {"x0": 400.0}), ("Prezes: B", {"x0": 100.0}), ("Prezes: C", {"x0": 100.0}), ("  ", {}), (None, {}), ("skan", {"mark": "scan"}),
+    ]
+    tight = lambda i: {"y_top": 14.0 * i, "y_bottom": 14.0 * i + 10}
+    rows = [(t, m | tight(i) | {"page": 1 + i // 25, "seq": None if i < 8 else i - 7}) for i, (t, m) in enumerate(rng.choices(kinds, weights=[9, 9, 2, 2, 2, 1, 2, 2, 3, 3, 1, 1, 2], k=150), 1)]
+    # a signature is told by the signature several lines before; a paragraph is longer than a stretch
+    rows += [("Minister: X", {"x0": 400.0, "page": 9})] + [("Prezes: Y", {"x0": 100.0, "page": 9})] * 7 + [("Załącznik nr 9", {"x0": 100.0, "page": 9})]
+    rows += [(f"wiersz {i} bez końca", tight(i) | {"page": 20}) for i in range(9)]
+    df = lines(spark, rows).unionByName(lines(spark, rows[:40], doc_id=None)).repartition(3)
+    got = {chunk: sorted(map(tuple, b.segment(df, chunk).collect()), key=repr) for chunk in (1, 3, 7, 2000)}
+    assert got[1] == got[2000] and got[3] == got[2000] and got[7] == got[2000]
+    assert {k: sum(r[2] == k for r in got[2000] if r[0] == "d" and r[3] == 9) for k in ("signature", "annex")} == {"signature": 8, "annex": 1}
+    assert [r[5] for r in got[2000] if r[3] == 20] == [9]
+    assert sum(r[5] for r in got[1]) == sum(bool(t and t.strip()) for t, _ in rows + rows[:40])
+
+
 def test_parts_and_points(spark):
     rows = [(1, "d", 1, "p", "1) a", 1), (2, "d", 2, "p", "2) b", 1), (3, "d", 3, "annex", "Z", 1), (4, "d", 4, "p", "a) c", 1), (5, "d", 5, "p", "c) d", 1), (6, "d", 6, "signature", "M:", 1)]
     df = spark.createDataFrame(rows + rows[:2], "block_id long, doc_id string, seq int, kind string, text string, page int")
