@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -88,21 +94,34 @@ def mode_by(df: DataFrame, by: list[str], value: Column, weight: Column | None =
 def bootstrap_median(df: DataFrame, value: str, replicates: int = 200, seed: str = "b", places: int = 2) -> DataFrame:
     """Percentile interval of the median over resamples: low, median, high, replicates.
 
-    Rows are counted by rounded value first. In a resample a value of count c gets a Poisson weight of mean
-    c, drawn from a hash of value and replicate (c draws of mean one below ten, the normal
-    approximation above), so the work grows with the different values and the result with no layout.
+    Rows are counted by rounded value first. The median of n rows drawn with replacement is the value at a random place: the
+    middle one of n evenly spread numbers in order, which is drawn by its own (beta) distribution, for an even n the two in the
+    middle. So the draws are exact, and the work is different values plus replicates, on any layout.
     """
     counts = df.select(F.round(F.col(value).cast("double"), places).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("c"))
-    draws = counts.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    uniform = lambda *what: (F.pmod(F.xxhash64(F.lit(seed), "v", "r", *what), F.lit(1_000_000)) + 0.5) / 1_000_000
-    cuts = [0.367879, 0.735759, 0.919699, 0.981012, 0.996340, 0.999406]
-    one = lambda k: sum(((uniform(k) >= c).cast("int") for c in cuts), F.lit(0))
-    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("c"), F.lit(10)).cast("int")), F.lit(0), lambda s, k: s + one(k))
-    normal = F.sqrt(-2 * F.log(uniform(F.lit(-1)))) * F.cos(2 * F.pi() * uniform(F.lit(-2)))
-    many = F.greatest(F.lit(0.0), F.round(F.col("c") + F.sqrt("c") * normal))
-    weighed = draws.select("r", "v", F.when(F.col("c") < 10, few).otherwise(many).alias("w")).filter("w > 0")
-    seen = weighed.withColumn("upto", F.sum("w").over(Window.partitionBy("r").orderBy("v"))).withColumn("n", F.sum("w").over(Window.partitionBy("r")))
-    medians = seen.groupBy("r").agg(F.min(F.when(F.col("upto") * 2 >= F.col("n"), F.col("v"))).alias("m"))
+    state = zlib.crc32(seed.encode())
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, ranks = [], []
+            for r, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rng, k = np.random.default_rng([state, r]), (n + 1) // 2
+                low = high = rng.beta(k, n - k + 1)
+                if n % 2 == 0:
+                    high = low + (1 - low) * rng.beta(1, n - k)
+                at += [r, r]
+                ranks += [min(n, max(1, math.ceil(u * n))) for u in (low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ranks, pa.int64())], names=["r", "rank"])
+
+    # one row on the right side
+    total = F.broadcast(counts.agg(F.sum("c").alias("n")).filter("n is not null"))
+    draws = df.sparkSession.range(1, replicates + 1).crossJoin(total).mapInArrow(draw, "r long, rank long")
+    placed = counts.select(F.lit(None).cast("long").alias("r"), F.sum("c").over(Window.orderBy("v")).alias("rank"), "v")
+    both = placed.unionByName(draws.withColumn("v", F.lit(None).cast("double")))
+    # downwards, as a frame to the end of the rows costs their square
+    above = Window.orderBy(F.desc("rank")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("v", F.last("v", ignorenulls=True).over(above)).filter("r is not null")
+    medians = found.groupBy("r").agg(F.avg("v").alias("m"))
     return medians.agg(
         F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.5).alias("median"), F.percentile("m", 0.975).alias("high"), F.count("*").alias("replicates")
     )

@@ -193,5 +193,5 @@ def flat_collisions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_length(spark: SparkSession, sf: str) -> DataFrame:
-    return measures.bootstrap_median(table(spark, sf, "documents"), "n_chars", places=0)
+    return measures.bootstrap_median(table(spark, sf, "documents"), "n_chars", replicates=10_000, places=0)
 

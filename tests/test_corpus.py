@@ -7,6 +7,7 @@ from folioflow.common import previous, running_sum
 from folioflow.functions import text as t
 from folioflow.functions.languages import guess
 from folioflow.operators import catalog, markdown, measures, sampling
+from folioflow.plans import corpus
 
 
 def column(spark, values, make):
@@ -60,6 +61,21 @@ def test_quantiles(spark):
     assert r.low <= r["median"] <= r.high and r.replicates == 200
 
 
+def test_bootstrap(spark, tmp_path):
+    """The query takes 10,000 resamples; the interval is that of plain resampling."""
+    rng = random.Random(7)
+    for n in (40, 41):
+        v = [rng.choice([rng.randint(0, 30), rng.randint(100, 900)]) for _ in range(n)]
+        medians = sorted(statistics.median(rng.choices(v, k=n)) for _ in range(10_000))
+        df = spark.createDataFrame([(x,) for x in v] + [(None,)], "n_chars int")
+        df.write.parquet(str(tmp_path / f"{n}" / "documents.parquet"))
+        r = corpus.bootstrap_length(spark, str(tmp_path / f"{n}")).first()
+        assert r.replicates == 10_000
+        for got, share in ((r.low, 0.025), (r["median"], 0.5), (r.high, 0.975)):
+            assert medians[int((share - 0.01) * 10_000)] <= got <= medians[int((share + 0.01) * 10_000)]
+    assert measures.bootstrap_median(df.limit(0), "n_chars").first().replicates == 0
+
+
 def test_bags(spark):
     a = spark.createDataFrame([(1, "x x y"), (2, "z")], "id int, text string")
     b = spark.createDataFrame([(1, "x y y q"), (3, "w")], "id int, text string")
