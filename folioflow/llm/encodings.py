@@ -14,6 +14,7 @@ Two kinds of damage are undone, and a third is reported:
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.letters import Letters, collect_model, letter_counts, plain_token
+from folioflow.llm.letters import LONGEST, RUN, Letters, collect_model, letter_counts, plain_token, words_of
 
 #: Single-byte encodings that text is taken for, in order of preference.
 READ_AS = ["cp1252", "cp1250", "iso8859_2", "cp437", "cp852", "cp850", "mac_roman", "mac_latin2", "cp1251"]
@@ -77,6 +78,8 @@ def _span_test() -> re.Pattern:
 
 
 _MAY_HAVE_SPAN = _span_test()
+#: Bytes of a span are never plain ASCII characters, in no encoding; quick to search.
+_PAIR = re.compile("[^\x00-\x7f]{2}")
 
 
 def _plausible(text: str) -> bool:
@@ -101,7 +104,8 @@ def decode_spans(text: str, counts: dict[str, int] | None = None) -> tuple[str,
     """
     counts = counts or {}
     used: list[str] = []
-    while len(used) < 4 and _MAY_HAVE_SPAN.search(text):
+    # each round makes the text shorter, so this ends
+    while _PAIR.search(text) and _MAY_HAVE_SPAN.search(text):
         best: tuple[tuple[int, float], str, str] | None = None
         for codec in READ_AS:
             raw = text.translate(_TO_BYTES[codec])
@@ -165,7 +169,7 @@ class Repairer:
         found = self.cache.get(token)
         if found is None:
             # numbers with signs (coordinates, formulas) are no words
-            word = len(token) <= 60 and not token.isascii() and any(c.isalpha() for c in token) and 4 * sum(c.isdigit() for c in token) < len(token)
+            word = not token.isascii() and any(c.isalpha() for c in token) and 4 * sum(c.isdigit() for c in token) < len(token)
             found = self._weigh(token) if word else []
             if len(self.cache) < 1_000_000:
                 self.cache[token] = found
@@ -198,22 +202,20 @@ class Repairer:
         """Text restored by the best pair of encodings, and its name; the text itself and None if none is good enough."""
         if text.isascii():
             return text, None
-        gains: dict[str, list[float]] = {}
-        per: dict[str, dict[str, str]] = {}
-        token_of = self._token
-        for token in text.split():
-            for k, _, gain, n in token_of(token) if not token.isascii() else ():
-                name = PAIRS[k][0]
-                own = gains.setdefault(name, [0.0, 0])
-                own[0] += gain
-                own[1] += n
-        if not gains:
+        token_of, seen = self._token, self.cache.get
+        tokens = []
+        for token in words_of(text):
+            if not token.isascii():
+                found = seen(token)
+                if token_of(token) if found is None else found:
+                    tokens.append(token)
+        if not tokens:
             return text, None
         # other pairs may change a token alike; they were folded into the first of them, so weigh all again
+        labels = {PAIRS[k][0] for t in tokens for k, _, _, _ in token_of(t)}
         best, name = 0.0, None
-        tokens = [t for t in text.split() if not t.isascii() and token_of(t)]
         for label, table in PAIRS:
-            if label not in gains:
+            if label not in labels:
                 continue
             total, signs = 0.0, True
             for t in tokens:
@@ -226,24 +228,25 @@ class Repairer:
         if name is None:
             return text, None
         table = dict(PAIRS)[name]
+
+        def settled(t: str) -> str:
+            changed = t.translate(table)
+            # the row's encodings are settled; a token follows if it gains at all
+            return changed if changed != t and self._total(t) - self._total(changed) >= self.EACH else t
+
         parts = re.split(r"(\s+)", text)
         for i in range(0, len(parts), 2):
             t = parts[i]
-            if t and len(t) <= 60 and not t.isascii():
-                changed = t.translate(table)
-                # the row's encodings are settled; a token follows if it gains at all
-                if changed != t and self._total(t) - self._total(changed) >= self.EACH:
-                    parts[i] = changed
+            if not t.isascii():
+                parts[i] = settled(t) if len(t) <= LONGEST else RUN.sub(lambda m: settled(m.group()), t)
         return "".join(parts), name
 
     def _lost(self, text: str) -> bool:
         if _LOST.search(text):
             return True
         for m in _LOST_END.finditer(text):
-            if len(m.group(1)) > 60:
-                continue
             # the word is likelier with a letter outside ASCII in this place than as it stands
-            word = plain_token(m.group(1))
+            word = plain_token(m.group(1)[-LONGEST:])
             if sum(self.letters.costs(word)) > 1.0 + min((sum(self.letters.costs(word + c)) for c in self.ends), default=math.inf):
                 return True
         return False
@@ -262,6 +265,40 @@ class Repairer:
 _loaded: dict[str, Repairer] = {}
 
 
+def _rows(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """src_table, row_id, text of all tables; NULL and empty texts left out."""
+    parts = [
+        df.select(F.lit(name).alias("src_table"), F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).filter("text <> ''")
+        for name, (df, key, text) in sources.items()
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def find_multibyte_spans(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows with multibyte spans that were read as a single-byte encoding: src_table, row_id, text, restored, damage.
+
+    The automaton alone, without statistics of the corpus: rows in which one single-byte encoding was read as another and rows
+    with characters lost for good have no such spans and are not found. NULL and empty texts have none; rows delivered
+    twice (same id and text) give one row; other columns are left out.
+    """
+    # a span has two neighbours outside ASCII in any encoding; other rows stay in the JVM
+    rows = _rows(sources).filter(F.col("text").rlike(r"[^\x00-\x7f]{2}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["src_table", "row_id", "text", "restored", "damage"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        for batch in batches:
+            out = []
+            for src, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                restored, used = decode_spans(text)
+                if used:
+                    out.append((src, row, text, restored, "; ".join(f"utf-8 as {c}" for c in used)))
+            cols = list(zip(*out)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    return rows.mapInArrow(run, "src_table string, row_id long, text string, restored string, damage string").distinct()
+
+
 def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample: DataFrame | None = None) -> DataFrame:
     """Affected rows of several tables: src_table, row_id, text, restored, damage, lost.
 
@@ -271,10 +308,7 @@ def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample:
     NULL and empty texts are never affected; rows delivered twice (same id and text) give one row; other
     columns are left out.
     """
-    rows = None
-    for name, (df, key, text) in sources.items():
-        part = df.select(F.lit(name).alias("src_table"), F.col(key).cast("long").alias("row_id"), F.col(text).alias("text")).filter("text <> ''")
-        rows = part if rows is None else rows.unionByName(part)
+    rows = _rows(sources)
     letters = collect_model(letter_counts(sample if sample is not None else rows))
     context = rows.sparkSession.sparkContext
     shared = context.broadcast(letters.counts)
@@ -290,8 +324,6 @@ def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample:
         for batch in batches:
             out = []
             for src, row, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if text.isascii() and "?" not in text:
-                    continue
                 restored, damage, lost = repair(text)
                 if damage or lost:
                     out.append((src, row, text, restored, damage, lost))
@@ -299,4 +331,5 @@ def find_wrong_encoding(sources: dict[str, tuple[DataFrame, str, str]], sample:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     schema = "src_table string, row_id long, text string, restored string, damage string, lost boolean"
-    return rows.mapInArrow(run, schema).distinct()
+    # plain ASCII without a question mark has nothing to look at and stays in the JVM
+    return rows.filter(F.col("text").rlike(r"[^\x00-\x7f]|\?")).mapInArrow(run, schema).distinct()

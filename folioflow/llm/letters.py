@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,6 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGE = "\x02"
+#: Longer tokens are no words; their runs of letters (and signs outside ASCII) are taken one by one.
+LONGEST = 60
+RUN = re.compile(rf"[A-Za-z\x80-\U0010ffff]{{1,{LONGEST}}}")
 _TRIM = "\"'.,;:!?()[]{}<>*_#|/\\-–—„”“«»…"
 
 
@@ -20,6 +24,14 @@ def plain_token(token: str) -> str:
     return "".join("0" if c.isdigit() and c < "\x80" else c for c in t) if any("0" <= c <= "9" for c in t) else t
 
 
+def words_of(text: str) -> list[str]:
+    """Tokens of a text; of an overlong one its runs of letters."""
+    tokens = text.split()
+    if len(text) > LONGEST and max(map(len, tokens), default=0) > LONGEST:
+        tokens = [w for t in tokens for w in ((t,) if len(t) <= LONGEST else RUN.findall(t))]
+    return tokens
+
+
 def letter_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """Counts of all runs of one to three letters of the tokens of all texts: gram, n."""
     source = texts.select(F.col(column).alias("t")).filter("t <> ''")
@@ -31,7 +43,7 @@ def letter_counts(texts: DataFrame, column: str = "text") -> DataFrame:
         def drain() -> None:
             for token, n in tokens.items():
                 t = plain_token(token)
-                if t and len(t) <= 60:
+                if t:
                     s = EDGE + EDGE + t + EDGE
                     for i in range(2, len(s)):
                         grams[s[i]] += n
@@ -47,7 +59,7 @@ def letter_counts(texts: DataFrame, column: str = "text") -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                tokens.update(text.split())
+                tokens.update(words_of(text))
             if len(tokens) > 300_000:
                 drain()
             if len(grams) > 500_000:

@@ -1,8 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from folioflow.llm.encodings import decode_spans, find_wrong_encoding
+from folioflow.llm.encodings import decode_spans, find_multibyte_spans, find_wrong_encoding
 
 WORDS = "się książkę właściwych środków żołnierzy ćwiczeń źródło łąka ogłasza określa załączników także obowiązków jeżeli przepisy nie stosuje ustawa rada gmina i w z do São Tîrgan m² 5½ 3 °C".split()
 
@@ -63,3 +64,28 @@ def test_tables(spark):
     assert sum(right) >= 0.97 * len(right)
     assert all(r.lost == (truth[r.row_id] in "?f") for r in got)
     assert find_wrong_encoding({"a": (df.limit(0), "line_id", "text")}).count() == 0
+
+
+def damaged(text, codec="cp1252"):
+    return "".join(lenient(b, codec) for b in text.encode())
+
+
+def test_overlong_tokens(spark):
+    # a token without blanks is judged by its runs of letters
+    rng = random.Random(2)
+    clean = [sentence(rng) for _ in range(4000)]
+    bad = "(1)".join(WORDS[:9]).translate({ord("ą"): "¹", ord("ś"): "\x9c", ord("ż"): "¿", ord("ę"): "ê"})
+    assert len(bad) > 60 and " " not in bad
+    df = spark.createDataFrame([*enumerate(clean), (9000, bad)], "line_id long, text string")
+    got = find_wrong_encoding({"a": (df, "line_id", "text")}).collect()
+    assert [r.row_id for r in got] == [9000] and got[0].restored == "(1)".join(WORDS[:9])
+
+
+def test_method_alone(spark):
+    thrice = damaged(damaged(damaged("książkę żołnierzy")))
+    rows = [(1, damaged("źródło łąka")), (2, "źródło"), (3, thrice), (4, "ŸródÅo?"), (5, None), (6, ""), (7, "plain"), (1, damaged("źródło łąka"))]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("restored", F.lit(1))
+    got = {r.row_id: r.restored for r in find_multibyte_spans({"t": (df, "id", "text")}).collect()}
+    assert got == {1: "źródło łąka", 3: "książkę żołnierzy"}
+    assert find_multibyte_spans({"t": (df, "id", "text")}).count() == 2
+    assert find_multibyte_spans({"t": (df.limit(0), "id", "text")}).count() == 0
