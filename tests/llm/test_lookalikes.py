@@ -4,7 +4,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioflow.llm.lookalikes import canonical, find_look_alikes
+from folioflow.llm.lookalikes import Rules, canonical, classes, confusables, find_look_alikes
 
 REGULAR = ["Żółć – „cytat” … m² 5½ x¹⁾ H₂O 3 °C kΩ μm 10 ℃", "нова редакція закону", "ο νόμος ισχύει", "kąt α oraz β, opór 5 Ω", "zob. договір про співпрацю", "a\tb\nc", "Œuvre Æskildbø São"]
 CASES = {
@@ -31,6 +31,40 @@ def test_stable(text):
     assert unicodedata.normalize("NFC", canonical(once)[0]) == canonical(unicodedata.normalize("NFC", once))[0]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aeoᄒ한한ো丽̨́︠क़"), st.characters(codec="utf-8")), max_size=30))
+def test_changed_texts_are_composed(text):
+    found, kinds = canonical(text)
+    assert not kinds or unicodedata.is_normalized("NFC", found)
+
+
+def test_quick_check():
+    # jamo, a compatibility ideograph beyond the basic plane, a vowel sign that composes, marks out of order
+    for text in ("한", "\U0002f800", "ো", "ą́̂", "ą̂x"):
+        assert canonical(f"z {text} z")[0] == unicodedata.normalize("NFC", f"z {text} z")
+    kinds = classes()
+    import re
+    for name, chars in {"form": "\U0002f81aｚℌ", "mark": "ᅡᆨ́া", "space": "\u00a0\u3000", "invisible": "\u00ad\u200b"}.items():
+        assert all(re.fullmatch(f"[{kinds[name]}]", c) for c in chars)
+
+
+def test_other_scripts(spark):
+    r = Rules(classes(), confusables(spark))
+    assert canonical("Ꭺrt. 5 ꓮkt", r) == ("Art. 5 Akt", {"script"})
+    for text in ["ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", *REGULAR]:
+        assert canonical(text, r) == (text, set())
+    assert len(r.alike) > 150
+
+
+def test_restored_and_method(spark):
+    rows = [(1, "tаkżе"), (2, "Ð°kt a\u0301"), (3, "zwykły"), (4, "a\u0301"), (4, "a\u0301"), (5, None)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    restored = spark.createDataFrame([("t", 2, "Ð°kt a\u0301", "аkt a\u0301")], "src_table string, row_id long, text string, restored string")
+    got = {r.row_id: (r.canonical, r.text) for r in find_look_alikes({"t": (df, "id", "text")}, restored=restored).collect()}
+    assert got == {1: ("także", "tаkżе"), 2: ("akt á", "Ð°kt a\u0301"), 4: ("á", "a\u0301")}
+    assert {r.row_id for r in find_look_alikes({"t": (df, "id", "text")}, method_only=True).collect()} == {2, 4}
+
+
 def test_table(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(REGULAR) if i % 2 else rng.choice(sorted(CASES)), "x") for i in range(60)]
