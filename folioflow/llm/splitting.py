@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.common import running_sum
+from folioflow.common import previous, running_sum
 
 
 def core_pattern(core: int) -> str:
@@ -52,64 +52,73 @@ def natural_tail(text: Column, overlap: int) -> Column:
     return F.when(fits | (cut == ""), tail).otherwise(cut)
 
 
-def split_texts(df: DataFrame, key: str, text: str = "text", limit: int = 1500, overlap: int = 150) -> DataFrame:
+def split_texts(df: DataFrame, key: str, text: str = "text", limit: int = 1500, overlap: int = 150, only_cut: bool = False) -> DataFrame:
     """Pieces of at most limit characters: key, piece_no (from 1), overlap_chars, text.
 
-    Characters are code points. A text within the limit is one piece; NULL and empty texts give
-    none. Without the first overlap_chars of each piece, the pieces of a text joined in order are the
+    Characters are code points. A text within the limit is one piece (left out with only_cut); NULL and empty texts
+    give none. Without the first overlap_chars of each piece, the pieces of a text joined in order are the
     text. Rows with the same key and text give their pieces once; other columns are left out.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
-    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text <> ''")
+    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(F.length("_text") > (limit if only_cut else 0))
+    # texts delivered twice go before anything is cut
+    once = source.withColumn("_hash", F.xxhash64("_text")).dropDuplicates(["_key", "_hash"])
     cores = F.when(F.length("_text") <= limit, F.array("_text")).otherwise(_cores(F.col("_text"), limit - overlap))
-    rows = source.select("_key", F.xxhash64("_text").alias("_hash"), cores.alias("_cores"))
-    piece = F.transform(
-        "_cores",
-        lambda c, i: F.struct(c.alias("core"), F.when(i > 0, natural_tail(F.get("_cores", i - 1), overlap)).otherwise("").alias("head")),
-    )
-    pieces = rows.select("_key", "_hash", F.posexplode(piece).alias("_no", "_p"))
-    once = pieces.dropDuplicates(["_key", "_hash", "_no"])
-    return once.select(
+    pieces = once.select("_key", cores.alias("_cores")).select("_key", F.posexplode(_with_heads(overlap, F.lit(""))).alias("_no", "_p"))
+    return pieces.select(
         F.col("_key").alias(key), (F.col("_no") + 1).alias("piece_no"),
         F.length("_p.head").alias("overlap_chars"), F.concat("_p.head", "_p.core").alias("text"),
     )
 
 
+def _with_heads(overlap: int, first: Column) -> Column:
+    """The array _cores as structs of core and head, the end of the core before; first: the head of the first."""
+    return F.transform("_cores", lambda c, i: F.struct(c.alias("core"), F.when(i > 0, natural_tail(F.get("_cores", i - 1), overlap)).otherwise(first).alias("head")))
+
+
+def oversized_groups(df: DataFrame, group: str, item: str, text: str = "text", limit: int = 12_000) -> DataFrame:
+    """Groups whose texts have more than limit characters in sum, each row counted once: group, chars. Texts aren't shuffled, only their lengths."""
+    sizes = df.filter(F.col(group).isNotNull()).select(F.col(group), F.col(item).alias("_item"), F.xxhash64(text).alias("_hash"), F.coalesce(F.length(text), F.lit(0)).alias("_n"))
+    return sizes.dropDuplicates([group, "_item", "_hash"]).groupBy(group).agg(F.sum("_n").alias("chars")).filter(F.col("chars") > limit)
+
+
 def split_groups(
-    df: DataFrame, group: str, order: str, item: str, text: str = "text",
-    limit: int = 12_000, overlap: int = 150, part_limit: int = 1500,
+    df: DataFrame, group: str, order: str, item: str, text: str = "text", limit: int = 12_000, overlap: int = 150, region: int = 480_000,
 ) -> DataFrame:
     """Ordered pieces of the groups (acts) whose texts have more than limit characters in sum.
 
-    Output: group, piece_no (from 1), overlap_chars, text. Each text is cut into stretches of at most
-    part_limit characters as in split_texts; a stretch belongs to the piece that its offset in the
-    group falls into, so a piece ends at the end of a stretch and the pieces of one group are
-    made independently of each other, however large the group is. Without the first overlap_chars of
-    each, the pieces of a group joined in order are its texts joined by line ends.
-    Rows are ordered by order, then item; NULL orders come first. Rows delivered twice (same item)
-    count once; NULL and empty texts count 0; rows without a group belong to none.
+    Output: group, piece_no (from 1), overlap_chars, text. The text of a group is its texts in order, with an empty line
+    between them; it is cut by the same expression as in split_texts, at the strongest boundary before the limit. As a
+    group may be a third of all rows, its text is put together in regions of about region characters that end at
+    the end of a text, and every region is cut by itself; a group of fewer characters is one region. Without the
+    first overlap_chars of each and without the line ends at the end of each region, the pieces of a group joined in order
+    are its text. Rows are ordered by order, then item; NULL orders come first. Rows delivered twice
+    (same item and text) count once; NULL and empty texts count 0; rows without a group belong to none.
     """
-    cell = limit - (overlap + 1) - (part_limit + 1)
-    if cell <= part_limit:
-        raise ValueError("the limit is too small for such parts")
+    if not 0 <= overlap < limit // 2:
+        raise ValueError("the overlap must be less than half the limit")
+    large = oversized_groups(df, group, item, text, limit).select(F.col(group).alias("_group"))
     source = df.select(
         F.col(group).alias("_group"), F.col(order).cast("long").alias("_order"), F.col(item).alias("_item"), F.col(text).alias("_text")
-    ).filter("_group is not null and _text <> ''").withColumn("_hash", F.xxhash64("_text"))
-    parts = source.select("_group", "_order", "_item", "_hash", F.posexplode(_cores(F.col("_text"), part_limit)).alias("_no", "_part"))
-    parts = parts.dropDuplicates(["_group", "_item", "_hash", "_no"])
-    size = F.length("_part") + 1
-    placed = running_sum(parts, ["_group"], ["_order", "_item", "_hash", "_no"], size, "_at", {"_chars": F.length("_part")}, span=512)
-    placed = placed.filter(F.col("_chars") > limit).withColumn("_cell", F.floor(F.col("_at") / cell))
-    ordered = F.array_sort(F.collect_list(F.struct("_at", "_no", "_part")))
-    # parts of one text follow each other directly, each text begins on its own line
-    joined = F.array_join(F.transform("_parts", lambda p: F.concat(F.when(p["_no"] == 0, "\n").otherwise(""), p["_part"])), "")
-    pieces = placed.groupBy("_group", "_cell").agg(ordered.alias("_parts")).select("_group", "_cell", joined.alias("_text"))
-    pieces = pieces.withColumn("_text", F.when(F.col("_cell") == 0, F.expr("substring(_text, 2)")).otherwise(F.col("_text")))
-    tails = pieces.select("_group", (F.col("_cell") + 1).alias("_cell"), natural_tail(F.col("_text"), overlap).alias("_head"))
-    both = pieces.join(tails, ["_group", "_cell"], "left")
-    head = F.coalesce("_head", F.lit(""))
-    return both.select(
-        F.col("_group").alias(group), (F.col("_cell") + 1).cast("int").alias("piece_no"),
-        F.length(head).alias("overlap_chars"), F.concat(head, "_text").alias("text"),
+    ).filter("_group is not null and _text <> ''").withColumn("_hash", F.xxhash64("_text")).join(large, "_group", "left_semi")
+    # offsets need lengths only; the texts are moved once they know their region
+    narrow = source.select("_group", "_order", "_item", "_hash", (F.length("_text") + 2).alias("_n")).dropDuplicates(["_group", "_item", "_hash"])
+    placed = running_sum(narrow, ["_group"], ["_order", "_item", "_hash"], F.col("_n"), "_at", {"_whole": F.col("_n")}, span=512)
+    placed = placed.select("_group", "_item", "_hash", "_at", F.floor(F.col("_at") / region).alias("_region"), (F.col("_whole") > region).alias("_many"))
+    on = [F.col("l._group") == F.col("r._group"), F.col("l._item").eqNullSafe(F.col("r._item")), F.col("l._hash") == F.col("r._hash")]
+    texts = source.alias("l").join(placed.alias("r"), on).select("l._group", "l._text", "r._at", "r._region", "r._many")
+    # a set: rows delivered twice have one place
+    ordered = F.array_sort(F.collect_set(F.struct("_at", "_text")))
+    regions = texts.groupBy("_group", "_region").agg(ordered.alias("_parts"), F.first("_many").alias("_many"))
+    whole = F.array_join(F.transform("_parts", lambda p: p["_text"]), "\n\n")
+    cut = regions.select("_group", "_region", "_many", _cores(whole, limit - overlap).alias("_cores"))
+    # what regions tell each other: their number of pieces and the end of their last one
+    info = cut.filter("_many").select("_group", "_region", F.size("_cores").alias("_n"), natural_tail(F.element_at("_cores", -1), overlap).alias("_tail"))
+    info = running_sum(previous(info, ["_group"], ["_region"], "_tail", "_head"), ["_group"], ["_region"], F.col("_n"), "_before")
+    both = cut.join(info.select("_group", "_region", "_head", "_before"), ["_group", "_region"], "left")
+    pieces = both.select("_group", F.coalesce("_before", F.lit(0)).alias("_before"), F.posexplode(_with_heads(overlap, F.coalesce("_head", F.lit("")))).alias("_no", "_p"))
+    return pieces.select(
+        F.col("_group").alias(group), (F.col("_before") + F.col("_no") + 1).cast("long").alias("piece_no"),
+        F.length("_p.head").alias("overlap_chars"), F.concat("_p.head", "_p.core").alias("text"),
     )

@@ -46,17 +46,36 @@ def test_groups(spark):
     for g, n in (("a", 40), ("b", 3), ("c", 200), ("d", 1)):
         own = [(g, i, 1000 * (ord(g) - 96) + i, make(rng, rng.choice([5, 120, 260, 700])).strip("\n") or "x") for i in range(n)]
         blocks += own
-        expected[g] = "\n".join(t for *_, t in own)
+        expected[g] = "\n\n".join(t for *_, t in own)
     blocks += [("a", 500, 1, None), (None, 1, 2, "x" * 5000), ("e", None, 3, "no order " * 300)]
     expected["e"] = "no order " * 300
     rng.shuffle(blocks)
     df = spark.createDataFrame(blocks + blocks[:50], "doc string, seq int, id long, text string")
-    rows = split_groups(df, "doc", "seq", "id", limit=1000, overlap=40, part_limit=200).orderBy("doc", "piece_no").collect()
+    for region in (2500, 480_000):
+        check_groups(split_groups(df, "doc", "seq", "id", limit=1000, overlap=40, region=region).orderBy("doc", "piece_no").collect(), df, expected, region)
+    assert split_groups(df.limit(0), "doc", "seq", "id").count() == 0
+
+
+def check_groups(rows, df, expected, region):
     total = {r.doc: r.n for r in df.distinct().groupBy("doc").agg(F.sum(F.length("text")).alias("n")).collect()}
     assert {r.doc for r in rows} == {g for g, n in total.items() if g and n > 1000}
     for g in {r.doc for r in rows}:
         own = [r for r in rows if r.doc == g]
-        assert "".join(r.text[r.overlap_chars :] for r in own) == expected[g]
+        joined = "".join(r.text[r.overlap_chars :] for r in own)
+        assert joined == expected[g] if region > len(expected[g]) else joined.replace("\n", "") == expected[g].replace("\n", "")
         assert all(len(r.text) <= 1000 for r in own)
         assert all(a.text.endswith(b.text[: b.overlap_chars]) and b.overlap_chars for a, b in zip(own, own[1:]))
-    assert split_groups(df.limit(0), "doc", "seq", "id").count() == 0
+        assert [r.piece_no for r in own] == list(range(1, len(own) + 1))
+
+
+def test_group_boundaries(spark):
+    # a paragraph end near the limit is taken rather than the last sentence end before it
+    texts = ["a" * 400, "b" * 480, "Zdanie. " * 60]
+    df = spark.createDataFrame([("g", i, i, t) for i, t in enumerate(texts)], "doc string, seq int, id long, text string")
+    first, *_ = split_groups(df, "doc", "seq", "id", limit=1000, overlap=10).orderBy("piece_no").collect()
+    assert first.text == texts[0] + "\n\n" + texts[1] + "\n\n"
+
+
+def test_only_cut(spark):
+    df = spark.createDataFrame([(1, "x" * 200), (2, "x" * 201), (3, None)], "id long, text string")
+    assert {r.id for r in split_texts(df, "id", limit=200, overlap=10, only_cut=True).collect()} == {2}
