@@ -77,43 +77,37 @@ def _with_heads(overlap: int, first: Column) -> Column:
     return F.transform("_cores", lambda c, i: F.struct(c.alias("core"), F.when(i > 0, natural_tail(F.get("_cores", i - 1), overlap)).otherwise(first).alias("head")))
 
 
-def oversized_groups(df: DataFrame, group: str, item: str, text: str = "text", limit: int = 12_000) -> DataFrame:
-    """Groups whose texts have more than limit characters in sum, each row counted once: group, chars. Texts aren't shuffled, only their lengths."""
-    sizes = df.filter(F.col(group).isNotNull()).select(F.col(group), F.col(item).alias("_item"), F.xxhash64(text).alias("_hash"), F.coalesce(F.length(text), F.lit(0)).alias("_n"))
-    return sizes.dropDuplicates([group, "_item", "_hash"]).groupBy(group).agg(F.sum("_n").alias("chars")).filter(F.col("chars") > limit)
-
-
 def split_groups(
-    df: DataFrame, group: str, order: str, item: str, text: str = "text", limit: int = 12_000, overlap: int = 150, region: int = 480_000,
+    df: DataFrame, group: str, order: str, item: str, text: str = "text", limit: int = 12_000, overlap: int = 150, span: int = 2048,
 ) -> DataFrame:
     """Ordered pieces of the groups (acts) whose texts have more than limit characters in sum.
 
     Output: group, piece_no (from 1), overlap_chars, text. The text of a group is its texts in order, with an empty line
     between them; it is cut by the same expression as in split_texts, at the strongest boundary before the limit. As a
-    group may be a third of all rows, its text is put together in regions of about region characters that end at
-    the end of a text, and every region is cut by itself; a group of fewer characters is one region. Without the
+    group may be a third of all rows, its text is put together in regions of span places of the order, which end at
+    the end of a text, and every region is cut by itself; a group of fewer places is one region or two. Without the
     first overlap_chars of each and without the line ends at the end of each region, the pieces of a group joined in order
     are its text. Rows are ordered by order, then item; NULL orders come first. Rows delivered twice
-    (same item and text) count once; NULL and empty texts count 0; rows without a group belong to none.
+    (same order, item and text) count once; NULL and empty texts count 0; rows without a group belong to none.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half the limit")
-    large = oversized_groups(df, group, item, text, limit).select(F.col(group).alias("_group"))
-    source = df.select(
-        F.col(group).alias("_group"), F.col(order).cast("long").alias("_order"), F.col(item).alias("_item"), F.col(text).alias("_text")
-    ).filter("_group is not null and _text <> ''").withColumn("_hash", F.xxhash64("_text")).join(large, "_group", "left_semi")
-    # offsets need lengths only; the texts are moved once they know their region
-    narrow = source.select("_group", "_order", "_item", "_hash", (F.length("_text") + 2).alias("_n")).dropDuplicates(["_group", "_item", "_hash"])
-    placed = running_sum(narrow, ["_group"], ["_order", "_item", "_hash"], F.col("_n"), "_at", {"_whole": F.col("_n")}, span=512)
-    placed = placed.select("_group", "_item", "_hash", "_at", F.floor(F.col("_at") / region).alias("_region"), (F.col("_whole") > region).alias("_many"))
-    on = [F.col("l._group") == F.col("r._group"), F.col("l._item").eqNullSafe(F.col("r._item")), F.col("l._hash") == F.col("r._hash")]
-    texts = source.alias("l").join(placed.alias("r"), on).select("l._group", "l._text", "r._at", "r._region", "r._many")
-    # a set: rows delivered twice have one place
-    ordered = F.array_sort(F.collect_set(F.struct("_at", "_text")))
-    regions = texts.groupBy("_group", "_region").agg(ordered.alias("_parts"), F.first("_many").alias("_many"))
+    place = F.floor(F.col(order).cast("long") / span)
+    # rows without a place come first, spread by their ids
+    spare = F.floor(F.coalesce(F.col(item).cast("string").try_cast("long"), F.lit(0)) / span) - (1 << 50)
+    source = df.filter((F.col(text) != "") & F.col(group).isNotNull()).select(
+        F.col(group).alias("_group"), F.coalesce(place, spare).alias("_region"), F.col(order).cast("long").alias("_order"), F.col(item).alias("_item"), F.col(text).alias("_text")
+    )
+    # which groups are large is told by lengths; the texts are moved only once, to their regions
+    narrow = source.select("_group", "_region", "_order", "_item", F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_n")).distinct()
+    sizes = narrow.groupBy("_group", "_region").agg(F.sum("_n").alias("_n"))
+    large = sizes.groupBy("_group").agg(F.sum("_n").alias("_n"), (F.count("*") > 1).alias("_many")).filter(F.col("_n") > limit)
+    wanted = sizes.select("_group", "_region").join(large.select("_group", "_many"), "_group")
+    # a set: rows delivered twice stand once
+    regions = source.groupBy("_group", "_region").agg(F.array_sort(F.collect_set(F.struct("_order", "_item", "_text"))).alias("_parts"))
     whole = F.array_join(F.transform("_parts", lambda p: p["_text"]), "\n\n")
-    cut = regions.select("_group", "_region", "_many", _cores(whole, limit - overlap).alias("_cores"))
-    # what regions tell each other: their number of pieces and the end of their last one
+    cut = regions.join(wanted, ["_group", "_region"]).select("_group", "_region", "_many", _cores(whole, limit - overlap).alias("_cores"))
+    # what the regions of a group tell each other: their number of pieces and the end of their last one
     info = cut.filter("_many").select("_group", "_region", F.size("_cores").alias("_n"), natural_tail(F.element_at("_cores", -1), overlap).alias("_tail"))
     info = running_sum(previous(info, ["_group"], ["_region"], "_tail", "_head"), ["_group"], ["_region"], F.col("_n"), "_before")
     both = cut.join(info.select("_group", "_region", "_head", "_before"), ["_group", "_region"], "left")

@@ -51,18 +51,18 @@ def test_groups(spark):
     expected["e"] = "no order " * 300
     rng.shuffle(blocks)
     df = spark.createDataFrame(blocks + blocks[:50], "doc string, seq int, id long, text string")
-    for region in (2500, 480_000):
-        check_groups(split_groups(df, "doc", "seq", "id", limit=1000, overlap=40, region=region).orderBy("doc", "piece_no").collect(), df, expected, region)
+    for span in (7, 2048):
+        check_groups(split_groups(df, "doc", "seq", "id", limit=1000, overlap=40, span=span).orderBy("doc", "piece_no").collect(), df, expected, span)
     assert split_groups(df.limit(0), "doc", "seq", "id").count() == 0
 
 
-def check_groups(rows, df, expected, region):
+def check_groups(rows, df, expected, span):
     total = {r.doc: r.n for r in df.distinct().groupBy("doc").agg(F.sum(F.length("text")).alias("n")).collect()}
     assert {r.doc for r in rows} == {g for g, n in total.items() if g and n > 1000}
     for g in {r.doc for r in rows}:
         own = [r for r in rows if r.doc == g]
         joined = "".join(r.text[r.overlap_chars :] for r in own)
-        assert joined == expected[g] if region > len(expected[g]) else joined.replace("\n", "") == expected[g].replace("\n", "")
+        assert joined == expected[g] if span > 1000 else joined.replace("\n", "") == expected[g].replace("\n", "")
         assert all(len(r.text) <= 1000 for r in own)
         assert all(a.text.endswith(b.text[: b.overlap_chars]) and b.overlap_chars for a, b in zip(own, own[1:]))
         assert [r.piece_no for r in own] == list(range(1, len(own) + 1))
