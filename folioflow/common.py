@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,12 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    The cluster names it in spark.checkpoint.dir. Where that is unset (tests, one machine) a folder
-    of our own is made and kept in the session's configuration.
+    The cluster names it in spark.checkpoint.dir. Where that is unset and the session runs on one machine (tests), a
+    folder of our own is made, kept in the session's configuration and removed at exit. On a cluster without the
+    setting there is none: a local folder of the driver would lose what executors write.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.folioflow.sharedDir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="folioflow-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="folioflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.folioflow.sharedDir", found)
     return found.rstrip("/")
 
@@ -87,6 +94,28 @@ def running_sum(
     )
 
 
+def carry(df: DataFrame, keys: list[str], position: list[str], values: dict[str, Column], span: int = 4096) -> DataFrame:
+    """Last earlier value of each expression that is not NULL, in the order of integer columns, per key; by name of the new column.
+
+    As in running_sum no window runs over a whole key: stretches of span positions of position[0] tell each other their last
+    values. Rows without a position come first, spread by the next column. keys must not be NULL.
+    """
+    first, *rest = position
+    spare = F.floor(F.coalesce(F.col(rest[0]), F.lit(0)) / F.lit(span)) if rest else F.lit(0)
+    bucket = F.coalesce(F.floor(F.col(first) / F.lit(span)), spare - F.lit(1 << 50)).cast("long")
+    names = {n: f"_v_{n}" for n in values}
+    # a struct, so that a value that is false or empty is still one
+    rows = df.withColumn("_bucket", bucket).withColumns({v: F.when(values[n].isNotNull(), F.struct(values[n].alias("v"))) for n, v in names.items()})
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*position).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct(*[F.coalesce(F.col(p), F.lit(-(1 << 62))).alias(f"p{i}") for i, p in enumerate(position)])
+    ends = rows.groupBy(*keys, "_bucket").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in names.values()])
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*keys, "_bucket", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_b{v}") for v in names.values()])
+    rows = rows.withColumns({f"_i{v}": F.last(v, ignorenulls=True).over(inside) for v in names.values()})
+    joined = rows.join(before, [*keys, "_bucket"])
+    return joined.select(*df.columns, *[F.coalesce(f"_i{v}", f"_b{v}")["v"].alias(n) for n, v in names.items()])
+
+
 def previous(df: DataFrame, keys: list[str], position: list[str], value: str, out: str, span: int = 4096) -> DataFrame:
     """Value of the row before in the order of integer columns, per key, without a window over a whole key.
 

@@ -62,9 +62,13 @@ def escape_markup(text: Column, read: bool = False) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"([*_`\[\]])", r"\\$1"), r"^(\d+)([.)]) ", r"$1\\$2 ") if read else out
 
 
+#: A small letter, in a word that may be cut at the end of a line.
+SMALL = "[a-ząćęłńóśźżäöüß]"
+
+
 def join_lines(left: Column, right: Column) -> Column:
     """Two lines as one text: a word cut at the hyphen is closed, a hyphen repeated on the next line stands once."""
-    small = "[a-ząćęłńóśźżäöüß]"
+    small = SMALL
     both = F.concat(left, F.lit("\n"), right)
     repeated = F.regexp_replace(both, rf"({small})-\n-({small})", "$1-$2")
     return F.regexp_replace(F.regexp_replace(repeated, rf"({small})-\n({small})", "$1$2"), r"\n", " ")

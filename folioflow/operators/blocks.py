@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folioflow.common import materialize, previous, running_sum
+from folioflow.common import previous, running_sum
 from folioflow.functions.text import join_lines
+from folioflow.operators import paragraphs
 
 #: Labels of units and items, signatures and annex headers.
 UNIT = r"^\s*(§ ?\d+|Art\. ?\d+|\d+[a-z]?\.|\d+[a-z]?\)|[a-z]{1,2}\)|[–—-] )"
@@ -74,188 +72,10 @@ def starts_act(text: Column) -> Column:
     return text.rlike(ACT_TYPE)
 
 
-_IN = ["line_id", "doc_id", "seq", "page", "band", "col", "x0", "x1", "y_top", "y_bottom", "font_size", "pw", "mark", "right_edge", "line_lead", "old_issue", "text"]
-
-
-def segment(lines: DataFrame, chunk: int = 2000) -> DataFrame:
-    """Paragraphs of the lines of each act: doc_id, first_line, kind, page, text, lines.
-
-    Whether a line opens a paragraph depends on the line before and its kind. Lines are read in order, in stretches of chunk
-    lines of an act (lines without seq first, by their ids); a stretch is given the last line before it and that line's kind,
-    and a paragraph over the edge of stretches is put together from its pieces. Rows delivered twice count once.
-    """
-    gaps = continuation_gaps(lines)
-    # NULL sorts first
-    part = F.struct(F.floor(F.col("seq") / chunk).alias("a"), F.when(F.col("seq").isNull(), F.floor(F.coalesce("line_id", F.lit(0)) / chunk)).alias("b"))
-    rows = lines.withColumn("_part", part).withColumn("_key", F.to_json("_part"))
-    edges = _edges(rows)
-
-    def run(table: pa.Table, before: pa.Table) -> pa.Table:
-        context = before.to_pylist()
-        return pa.Table.from_pylist(_segment(_in_order(table), context[0] if context else None), schema=_PIECES)
-
-    given = rows.join(gaps, ["doc_id", "page"], "left").select(*_IN, "q1", "_part", "_key")
-    cut = given.groupBy("doc_id", "_key").cogroup(edges.groupBy("_doc", "_of")).applyInArrow(run, f"{_BLOCK}, _key string, _no int, _opens boolean")
-    return _put_together(materialize(cut, "pieces"), rows)
-
-
-def _in_order(table: pa.Table) -> list[dict]:
-    rows = {r["line_id"]: r for r in table.to_pylist()}.values()
-    return sorted(rows, key=lambda r: (r["seq"] is not None, r["seq"] or 0, r["line_id"] or 0))
-
-
-def _edges(rows: DataFrame) -> DataFrame:
-    """Last line before each stretch but the first of an act, with its kind; only acts of several stretches are read."""
-    places = rows.groupBy("doc_id", "_key").agg(F.first("_part").alias("_part"))
-    several = places.groupBy("doc_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("doc_id")
-    same_doc = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    large = rows.alias("l").join(several.alias("r"), same_doc, "left_semi")
-
-    def last(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(_last_line(_in_order(table)), schema=_LAST)
-
-    ends = large.select(*_IN, "_key").groupBy("doc_id", "_key").applyInArrow(last, _LAST_DDL)
-    on = same_doc & (F.col("l._key") == F.col("r._key"))
-    ends = places.alias("l").join(several.alias("r"), same_doc, "left_semi").alias("l").join(ends.alias("r"), on, "left").select("l.*", *[f"r.{c}" for c in _CONTEXT], "r.kind")
-    # one row per stretch
-    earlier = Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    line = F.when(F.col("text").isNotNull(), F.struct(*_CONTEXT, "kind"))
-    seen = ends.select("doc_id", "_key", F.last(line, ignorenulls=True).over(earlier).alias("_line"), F.last("kind", ignorenulls=True).over(earlier).alias("_kind"))
-    # a line whose kind nothing in its stretch tells is a signature after a signature
-    kind = F.coalesce("_line.kind", F.when(F.col("_kind") == "signature", "signature").otherwise("p")).alias("kind")
-    return seen.filter("_line is not null").select(F.col("doc_id").alias("_doc"), F.col("_key").alias("_of"), *[f"_line.{c}" for c in _CONTEXT], kind)
-
-
-def _put_together(pieces: DataFrame, rows: DataFrame) -> DataFrame:
-    """Paragraphs of pieces; a piece that opens none goes on with the last paragraph opened in an earlier stretch of its act."""
-    shown = ["doc_id", "first_line", "kind", "page", "text", "lines"]
-    goes_on = pieces.filter("not _opens")
-    places = rows.groupBy("doc_id", "_key").agg(F.first("_part").alias("_part"))
-    same_doc = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
-    concerned = pieces.alias("l").join(goes_on.select("doc_id").distinct().alias("r"), same_doc, "left_semi")
-    opened = concerned.groupBy("doc_id", "_key").agg(F.max(F.when(F.col("_opens"), F.col("_no"))).alias("_no"))
-    placed = opened.alias("l").join(places.alias("r"), same_doc & (F.col("l._key") == F.col("r._key"))).select("l.*", "r._part")
-    earlier = Window.partitionBy("doc_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    head = F.last(F.when(F.col("_no").isNotNull(), F.struct("_key", "_no")), ignorenulls=True).over(earlier)
-    heads = placed.select("doc_id", "_key", "_part", head.alias("_head"))
-    on = same_doc & (F.col("l._key") == F.col("r._key"))
-    rest = goes_on.alias("l").join(heads.alias("r"), on).select("l.doc_id", "r._head", F.struct("r._part", "l.text", "l.lines").alias("_piece"))
-    # the pieces of one paragraph
-    rest = rest.groupBy("doc_id", "_head").agg(F.sort_array(F.collect_list("_piece")).alias("_rest"))
-    on = same_doc & (F.col("l._key") == F.col("r._head._key")) & (F.col("l._no") == F.col("r._head._no"))
-    whole = pieces.filter("_opens").alias("l").join(rest.alias("r"), on, "left").select(*[f"l.{c}" for c in shown], "r._rest")
-    cut = lambda left, right: left.rlike(f"[{_SMALL}]-$") & right.rlike(r"^\p{IsLowercase}")
-    join = lambda t, x: F.when(cut(t, x["text"]), F.concat(F.substring(t, F.lit(1), F.length(t) - 1), x["text"])).otherwise(F.concat(t, F.lit(" "), x["text"]))
-    text = F.when(F.col("_rest").isNull(), F.col("text")).otherwise(F.aggregate("_rest", F.col("text"), join))
-    count = F.col("lines") + F.coalesce(F.aggregate("_rest", F.lit(0), lambda n, x: n + x["lines"]), F.lit(0))
-    return whole.withColumns({"text": text, "lines": count}).select(*shown)
-
-
-_SMALL = "a-ząćęłńóśźżäöüß"
-_BLOCK = "doc_id string, first_line long, kind string, page int, text string, lines int"
-_PIECES = pa.schema([
-    ("doc_id", pa.string()), ("first_line", pa.int64()), ("kind", pa.string()), ("page", pa.int32()), ("text", pa.string()), ("lines", pa.int32()),
-    ("_key", pa.string()), ("_no", pa.int32()), ("_opens", pa.bool_()),
-])
-#: What a line tells the next one.
-_CONTEXT = ["page", "band", "col", "x1", "y_bottom", "right_edge", "text"]
-_LAST_DDL = "doc_id string, _key string, page int, band int, col int, x1 double, y_bottom double, right_edge double, text string, kind string"
-_LAST = pa.schema([
-    ("doc_id", pa.string()), ("_key", pa.string()), ("page", pa.int32()), ("band", pa.int32()), ("col", pa.int32()), ("x1", pa.float64()),
-    ("y_bottom", pa.float64()), ("right_edge", pa.float64()), ("text", pa.string()), ("kind", pa.string()),
-])
-
-
-def _kind(r: dict, after_sign: bool) -> str:
-    text, words = r["text"], r["text"].split()
-    right = (r["x0"] or 0) > 0.45 * (r["pw"] or 595)
-    if r["mark"]:
-        if re.match(ANNEX, text) and len(words) <= 40:
-            return "annex"
-        return "signature" if re.match(SIGNATURE, text) and len(words) <= 14 else r["mark"]
-    if re.match(ANNEX, text) and (right or after_sign or not r["x0"]):
-        return "annex"
-    return "signature" if re.match(SIGNATURE, text) and (right or after_sign or (r["x0"] or 0) > 0.25 * (r["pw"] or 595) or not r["x0"]) else "p"
-
-
-def _last_line(rows: list[dict]) -> list[dict]:
-    """Last line with text and its kind; no kind if it is a signature only in case a signature stands before the first line."""
-    kinds = None
-    for r in rows:
-        if not r["text"] or not r["text"].strip():
-            continue
-        last = r | {"text": r["text"].strip()}
-        before = kinds or ("p", "signature")
-        kinds = tuple(_kind(last, k == "signature") for k in before)
-    if kinds is None:
-        return []
-    return [{c: last[c] for c in ["doc_id", "_key", *_CONTEXT]} | {"kind": kinds[0] if kinds[0] == kinds[1] else None}]
-
-
-def _segment(rows: list[dict], context: dict | None) -> list[dict]:
-    """Pieces of the lines of a stretch; context: the line before with its kind."""
-    unit, item = re.compile(UNIT), re.compile(ITEM)
-    cut = re.compile(f"[{_SMALL}]-$")
-    out: list[dict] = []
-    parts: list[str] = []
-    before = context
-    last_kind = context["kind"] if context else None
-
-    def opens(r: dict, kind: str) -> bool:
-        if kind != last_kind:
-            return True
-        same_page = r["page"] == before["page"]
-        size = r["font_size"] or 10.0
-        gap = (r["y_top"] or 0) - (before["y_bottom"] or 0) if r["y_bottom"] and before["y_bottom"] and same_page else None
-        if kind == "annex":
-            return not (same_page and (gap is None or gap < 0.8 * size))
-        if kind == "signature":
-            return True
-        text, prev = r["text"], before["text"].rstrip()
-        ended = prev.endswith((".", ":", ";", "”"))
-        if not same_page or (r["band"], r["col"]) != (before["band"], before["col"]):
-            return bool(unit.match(text)) or ended
-        limit = max(0.45, (r["q1"] or 0) + 0.1) * size
-        if gap is not None and gap > limit:
-            return True
-        edge = before["right_edge"] or 0
-        short = bool(edge and before["x1"] and before["x1"] < edge - 2 * size)
-        if limit > 0.45 * size and short and ended:
-            return True
-        if unit.match(text):
-            lead = r["line_lead"] if r["line_lead"] and r["line_lead"] > 0 else None
-            wide = gap is not None and lead is not None and gap > lead + 1.2
-            return wide or short and ended or gap is None and ended or bool(item.match(text)) and ended
-        return False
-
-    def close() -> None:
-        if not out:
-            return
-        text = parts[0]
-        pieces = [text]
-        for p in parts[1:]:
-            if cut.search(pieces[-1]) and p[:1].islower():
-                pieces[-1] = pieces[-1][:-1]
-                pieces.append(p)
-            else:
-                pieces.append(" " + p)
-        out[-1]["text"] = "".join(pieces)
-
-    for r in rows:
-        if not r["text"] or not r["text"].strip():
-            continue
-        r["text"] = r["text"].strip()
-        kind = _kind(r, last_kind == "signature")
-        opening = before is None or opens(r, kind)
-        if opening or not out:
-            close()
-            out.append({"doc_id": r["doc_id"], "first_line": r["line_id"], "kind": kind, "page": r["page"], "lines": 0, "_key": r["_key"], "_no": len(out), "_opens": opening})
-            parts = []
-        parts.append(r["text"])
-        out[-1]["lines"] += 1
-        before, last_kind = r, kind
-    close()
-    return out
+def segment(lines: DataFrame, span: int = 4096) -> DataFrame:
+    """Paragraphs of the lines of each act (see paragraphs.segment). Rows delivered twice count once."""
+    once = lines.dropDuplicates(["line_id", "doc_id", "seq"])
+    return paragraphs.segment(once, continuation_gaps(once), span)
 
 
 # ---- footnotes
@@ -319,42 +139,6 @@ def letter_references(blocks: DataFrame, notes: DataFrame) -> DataFrame:
     return joined.withColumn("text", text).drop("_letters")
 
 
-def group_notes(lines: DataFrame) -> DataFrame:
-    """Notes of the lines below the rules of each page, in order: doc_id, page, note_no, label, text.
-
-    A marker or a numbered label opens a note; a point that follows the last point, or is the first after a colon, goes on
-    with it; so does everything else. lines: doc_id, page, seq, text.
-    """
-    import re
-
-    opener = re.compile(LABEL)
-    point = re.compile(r"^\s*(\d+)[.)]\s")
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: (r["page"] or 0, r["seq"] or 0))
-        notes: list[dict] = []
-        last = 0
-        for r in rows:
-            text = (r["text"] or "").strip()
-            if not text:
-                continue
-            number = point.match(text)
-            goes_on = notes and number and (int(number.group(1)) == last + 1 and last or int(number.group(1)) == 1 and notes[-1]["text"].endswith(":"))
-            label = opener.match(text)
-            if label and not goes_on or not notes:
-                notes.append({"doc_id": r["doc_id"], "page": r["page"], "note_no": len(notes) + 1, "label": label.group(1).strip("⁾) ") if label else None, "text": text})
-                last = 0
-            else:
-                notes[-1]["text"] += ("\n" if goes_on else " ") + text
-                last = int(number.group(1)) if goes_on else last
-        return pa.Table.from_pylist(notes, schema=_NOTES)
-
-    return lines.select("doc_id", "page", "seq", "text").groupBy("doc_id", "page").applyInArrow(run, "doc_id string, page int, note_no int, label string, text string")
-
-
-_NOTES = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("note_no", pa.int32()), ("label", pa.string()), ("text", pa.string())])
-
-
 def printed_notes(blocks: DataFrame) -> DataFrame:
     """Markers that open a line are printed notes: they and their references in the same part become raised figures.
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from folioflow.operators import blocks as b
-from folioflow.operators import layout
+from folioflow.operators import layout, paragraphs
 
 LINES = "line_id long, doc_id string, seq int, page int, y_top double, y_bottom double, x0 double, x1 double, font_size double, text string, pw double, ph double, mark string, right_edge double, line_lead double, band int, col int, act int, old_issue boolean"
 
@@ -105,7 +105,7 @@ def test_segment_stretches(spark):
     tight = lambda i: {"y_top": 14.0 * i, "y_bottom": 14.0 * i + 10}
     rows = [(t, m | tight(i) | {"page": 1 + i // 25, "seq": None if i < 8 else i - 7}) for i, (t, m) in enumerate(rng.choices(kinds, weights=[9, 9, 2, 2, 2, 1, 2, 2, 3, 3, 1, 1, 2], k=150), 1)]
     # a signature is told by the signature several lines before; a paragraph is longer than a stretch
-    rows += [("Minister: X", {"x0": 400.0, "page": 9})] + [("Prezes: Y", {"x0": 100.0, "page": 9})] * 7 + [("Załącznik nr 9", {"x0": 100.0, "page": 9})]
+    rows += [("Minister: X", {"x0": 400.0, "page": 9})] + [("Prezes: Y", {"x0": 100.0, "page": 9})] * 7 + [("Załącznik nr 9", {"x0": 400.0, "page": 9})]
     rows += [(f"wiersz {i} bez końca", tight(i) | {"page": 20}) for i in range(9)]
     df = lines(spark, rows).unionByName(lines(spark, rows[:40], doc_id=None)).repartition(3)
     got = {chunk: sorted(map(tuple, b.segment(df, chunk).collect()), key=repr) for chunk in (1, 3, 7, 2000)}
@@ -139,5 +139,39 @@ def test_notes(spark):
     assert b.printed_notes(blocks).filter("block_id = 3").first().text == "⁷⁾ w⁷⁾"
     marked = labelled.withColumn("marked", F.col("footnote_id") == 1)
     assert {r.footnote_id for r in b.plain_labels(marked.filter("label is not null"), refs).collect()} == {1, 4}
-    zone = spark.createDataFrame([("d", 1, 1, "1) lista:"), ("d", 1, 2, "1. raz"), ("d", 1, 3, "2. dwa"), ("d", 1, 4, "i dalej"), ("d", 1, 5, "2) nowy")], "doc_id string, page int, seq int, text string")
-    assert [r.text for r in b.group_notes(zone).orderBy("note_no").collect()] == ["1) lista:\n1. raz\n2. dwa i dalej", "2) nowy"]
+
+
+def test_group_notes(spark):
+    def grouped(*rows, span=4096):
+        df = spark.createDataFrame([("d", page, k, t) for k, (page, t) in enumerate(rows)], "doc_id string, page int, seq int, text string")
+        return [(r.page, r.label, r.text) for r in paragraphs.group_notes(df, span).orderBy("note_no").collect()]
+
+    listed = [(1, "1) lista:"), (1, "1) raz"), (1, "2) dwa"), (2, "i dalej"), (2, "2) nowy"), (2, None), (2, " "), (3, "¹²⁾ z figurą"), (3, "*) gwiazdka"), (4, "[^7] znak")]
+    want = [(1, "1", "1) lista:\n1) raz\n2) dwa i dalej"), (2, "2", "2) nowy"), (3, "12", "¹²⁾ z figurą"), (3, "*", "*) gwiazdka"), (4, "7", "[^7] znak")]
+    assert grouped(*listed) == want and grouped(*listed, span=1) == want
+    # a second list after another colon begins anew; a number that doesn't follow opens a note
+    again = [(1, "4) ustawa:"), (1, "1) a"), (1, "2) b:"), (1, "1) c"), (1, "2) d"), (1, "5) e")]
+    assert [t for *_, t in grouped(*again)] == ["4) ustawa:\n1) a\n2) b:\n1) c\n2) d", "5) e"]
+    # letters open notes in sequence, behind an ended note; others are points
+    letters = [(1, "[^a] pierwsza."), (1, "b) druga."), (1, "c) trzecia;"), (1, "d) punkt"), (1, "dalej.")]
+    assert [t for *_, t in grouped(*letters)] == ["[^a] pierwsza.", "b) druga.", "c) trzecia; d) punkt dalej."]
+    assert paragraphs.group_notes(spark.createDataFrame([], "doc_id string, page int, seq int, text string")).count() == 0
+
+
+def test_segment_rules(spark):
+    tight = lambda i, **more: {"y_top": 11.0 * i, "y_bottom": 11.0 * i + 10, "line_lead": 1.0} | more
+    # an article right below a heading; a line behind one that was left out; points of a table cell
+    assert [t for _, t, _ in segment(spark, [("Rozdział 1 Zmiany", tight(1)), ("w przepisach", tight(2)), ("Art. 5. (pominięty)", tight(3)), ("Art. 6. Treść", tight(4)), ("dalej", tight(5))])] == ["Rozdział 1 Zmiany w przepisach", "Art. 5. (pominięty)", "Art. 6. Treść dalej"]
+    assert [t for _, t, _ in segment(spark, [("tekst", tight(1)), ("Art. 6 ustawy", tight(2))])] == ["tekst Art. 6 ustawy"]
+    assert [t for _, t, _ in segment(spark, [("1) B1, B2 483", tight(1)), ("2) C", tight(2)), ("3) w tekście", tight(3, x0=90.0))])] == ["1) B1, B2 483", "2) C 3) w tekście"]
+    # an annex header goes on in lines on the right below it, and ends with the first other one
+    right = {"x0": 400.0}
+    got = segment(spark, [("tekst.", {}), ("Minister: X", right), ("Załącznik nr 1", tight(9, **right)), ("do rozporządzenia", tight(10, **right)), ("z dnia", tight(11, **right)), ("treść", tight(12)), ("dalsza", tight(13))])
+    assert [(k, t) for k, t, _ in got] == [("p", "tekst."), ("signature", "Minister: X"), ("annex", "Załącznik nr 1 do rozporządzenia z dnia"), ("p", "treść dalsza")]
+    # behind a dropped page number only a sentence goes on
+    rows = [("koszty tłumaczenia", {}), ("Wiersz tabeli", {"page": 2}), ("dążenia do", {"page": 2, "y_top": 61.0}), ("zmniejszania", {"page": 3})]
+    flagged = lines(spark, rows).withColumn("after_number", F.col("line_id").isin(2, 4))
+    assert [r.text for r in b.segment(flagged).orderBy("first_line").collect()] == ["koszty tłumaczenia", "Wiersz tabeli", "dążenia do zmniejszania"]
+    # empty, blank and repeated lines, lines without an act, extra columns
+    odd = lines(spark, [(None, {}), ("", {}), (" ", {}), ("a", {"doc_id": None}), ("b", {"doc_id": None, "seq": None}), ("x" * 200_000, {})]).withColumn("opens", F.lit(1)).withColumn("lines", F.lit("clash"))
+    assert {(r.doc_id, len(r.text)) for r in b.segment(odd.unionByName(odd)).collect()} == {(None, 3), ("d", 200_000)}
