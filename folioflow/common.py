@@ -94,26 +94,54 @@ def running_sum(
     )
 
 
-def carry(df: DataFrame, keys: list[str], position: list[str], values: dict[str, Column], span: int = 4096) -> DataFrame:
-    """Last earlier value of each expression that is not NULL, in the order of integer columns, per key; by name of the new column.
+class Stretches:
+    """Rows of a key in the order of an integer place, in stretches that know the rows before them.
 
-    As in running_sum no window runs over a whole key: stretches of span positions of position[0] tell each other their last
-    values. Rows without a position come first, spread by the next column. keys must not be NULL.
+    A key may own a third of all rows, so windows run over stretches of span places; the rows of the reach x depth places before a
+    stretch are copied into it. What a row learns from rows before it goes back at most reach places, so any span
+    gives the same results; depth is how many of such steps build on each other. All windows share one shuffle and one sort.
     """
-    first, *rest = position
-    spare = F.floor(F.coalesce(F.col(rest[0]), F.lit(0)) / F.lit(span)) if rest else F.lit(0)
-    bucket = F.coalesce(F.floor(F.col(first) / F.lit(span)), spare - F.lit(1 << 50)).cast("long")
-    names = {n: f"_v_{n}" for n in values}
-    # a struct, so that a value that is false or empty is still one
-    rows = df.withColumn("_bucket", bucket).withColumns({v: F.when(values[n].isNotNull(), F.struct(values[n].alias("v"))) for n, v in names.items()})
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*position).rowsBetween(Window.unboundedPreceding, -1)
-    order = F.struct(*[F.coalesce(F.col(p), F.lit(-(1 << 62))).alias(f"p{i}") for i, p in enumerate(position)])
-    ends = rows.groupBy(*keys, "_bucket").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), order)).alias(v) for v in names.values()])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = ends.select(*keys, "_bucket", *[F.last(v, ignorenulls=True).over(earlier).alias(f"_b{v}") for v in names.values()])
-    rows = rows.withColumns({f"_i{v}": F.last(v, ignorenulls=True).over(inside) for v in names.values()})
-    joined = rows.join(before, [*keys, "_bucket"])
-    return joined.select(*df.columns, *[F.coalesce(f"_i{v}", f"_b{v}")["v"].alias(n) for n, v in names.items()])
+
+    def __init__(self, key: str, place: str, span: int, reach: int, depth: int, tie: str | None = None) -> None:
+        self.key, self.place, self.reach = key, place, reach
+        self.context = reach * depth
+        self.span = max(span, self.context)
+        self.tie = tie
+        self.window = Window.partitionBy(key, "_part").orderBy(place, *([tie] if tie else []))
+
+    def spread(self, df: DataFrame) -> DataFrame:
+        """df with copies of context rows; _own tells the rows themselves."""
+        home = F.floor(F.col(self.place) / self.span)
+        next_too = F.col(self.place) - home * self.span >= self.span - self.context
+        parts = F.explode(F.when(next_too, F.array(home, home + 1)).otherwise(F.array(home)))
+        rows = df.withColumn("_part", parts).withColumn("_own", F.col("_part") == home)
+        if self.tie is None:
+            return rows
+        # rows delivered twice follow each other
+        same = [F.lag(c).over(self.window).eqNullSafe(F.col(c)) for c in (self.place, self.tie)]
+        rows = rows.withColumn("_twin", same[0] & same[1] & F.lag(F.lit(True)).over(self.window).isNotNull())
+        return rows.filter("not _twin").drop("_twin")
+
+    def before(self, value: Column) -> Column:
+        """The last value before a row that is not NULL and at most reach places back."""
+        seen = F.when(value.isNotNull(), F.struct(value.alias("v"), F.col(self.place).alias("p")))
+        last = F.last(seen, ignorenulls=True).over(self.window.rowsBetween(Window.unboundedPreceding, -1))
+        return F.when(F.col(self.place) - last["p"] <= self.reach, last["v"])
+
+
+def number_runs(df: DataFrame, stretches: Stretches, opens: Column) -> DataFrame:
+    """Own rows of spread rows with _run, the place of the last row that opens, itself included, however far back; NULL before the first.
+
+    The rows are written once; after that, stretches tell each other where their last run began.
+    """
+    within = stretches.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = F.when(opens & F.col("_own"), F.col(stretches.place))
+    rows = materialize(df.withColumn("_local", F.max(place).over(within)).filter("_own").drop("_own"), "runs")
+    ends = rows.groupBy(stretches.key, "_part").agg(F.max("_local").alias("_end"))
+    earlier = Window.partitionBy(stretches.key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.withColumn("_end", F.max("_end").over(earlier))
+    joined = rows.join(before, [stretches.key, "_part"])
+    return joined.withColumn("_run", F.coalesce("_local", "_end")).drop("_local", "_end", "_part")
 
 
 def previous(df: DataFrame, keys: list[str], position: list[str], value: str, out: str, span: int = 4096) -> DataFrame:

@@ -29,10 +29,13 @@ def joined_next(lines: DataFrame) -> DataFrame:
 
 
 def continuation_gaps(lines: DataFrame, least: int = 5) -> DataFrame:
-    """Lower quartile (an element) of gap over size before continuation lines, per page with enough of them: doc_id, page, q1."""
+    """Lower quartile (an element) of gap over size before continuation lines, per page with enough of them: doc_id, page, q1.
+
+    Rows delivered twice count once."""
     order = Window.partitionBy("doc_id", "page").orderBy("seq", "line_id")
     gap = (F.col("y_top") - F.lag("y_bottom").over(order)) / F.col("font_size")
-    rows = lines.filter("y_bottom > 0 and font_size > 0").withColumn("gap", F.round(gap, 4))
+    placed = lines.filter("y_bottom > 0 and font_size > 0").withColumn("_twin", F.lag(F.struct("seq", "line_id")).over(order).eqNullSafe(F.struct("seq", "line_id")))
+    rows = placed.filter("not _twin").withColumn("gap", F.round(gap, 4))
     going_on = rows.filter(F.col("gap").isNotNull() & ~F.col("text").rlike(UNIT))
     # one page bounds the list
     values = going_on.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list("gap")).alias("v")).filter(F.size("v") >= least)
@@ -72,10 +75,9 @@ def starts_act(text: Column) -> Column:
     return text.rlike(ACT_TYPE)
 
 
-def segment(lines: DataFrame, span: int = 4096) -> DataFrame:
+def segment(lines: DataFrame, span: int = 8192) -> DataFrame:
     """Paragraphs of the lines of each act (see paragraphs.segment). Rows delivered twice count once."""
-    once = lines.dropDuplicates(["line_id", "doc_id", "seq"])
-    return paragraphs.segment(once, continuation_gaps(once), span)
+    return paragraphs.segment(lines, continuation_gaps(lines), span)
 
 
 # ---- footnotes

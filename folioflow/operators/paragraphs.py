@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.common import carry, running_sum
+from folioflow.common import Stretches, number_runs
 from folioflow.functions.text import SMALL
 
 #: Labels that open a unit or an item, also behind an opening quote.
@@ -18,7 +18,7 @@ UNIT_LABEL = r"^„?(§ ?\d|Art\. ?\d|\d+[a-z]?[.)] |[a-z]{1,2}\) |[–—-] )"
 ITEM_LABEL = r"^„?(\d+[a-z]?\) |[a-z]{1,2}\) |[–—-] )"
 POINT_LABEL = r"^„?(\d+|[a-z])\)\s"
 ARTICLE_LABEL = r"^(Art\.|§) ?\d"
-HEADING_LABEL = r"^(?i:dział|rozdział|oddział|tytuł|księga|część)\s+\S"
+HEADING_LABEL = r"^(Dział|DZIAŁ|Rozdział|ROZDZIAŁ|Oddział|ODDZIAŁ|Tytuł|TYTUŁ|Księga|KSIĘGA|Część|CZĘŚĆ)\s+\S"
 LEFT_OUT = r"\((uchylon|pominięt|pominięc|skreślon)[a-z]*\)$"
 SIGNATURE_LABEL = r"^(Minister|Prezes|Marszałek|Przewodniczący|Prezydent|Wojewoda)[^:]{0,80}:"
 ANNEX_LABEL = r"^(Załącznik|ZAŁĄCZNIK)( nr \d+)?(\W|$)"
@@ -79,32 +79,52 @@ def _opens(q1: Column) -> Column:
     )
 
 
-def paragraph_lines(lines: DataFrame, gaps: DataFrame, span: int = 4096) -> DataFrame:
-    """Lines with text, each with its kind and whether it opens a paragraph (_plain), headings aside. lines may have a boolean after_number: the line
-    follows a page number that was left out. gaps: doc_id, page, q1 (see blocks.continuation_gaps)."""
-    key, order = ["_doc"], ["seq", "line_id"]
-    rows = lines if "after_number" in lines.columns else lines.withColumn("after_number", F.lit(False))
-    rows = rows.withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).filter("text <> ''").withColumn("mark", F.coalesce("mark", F.lit("")))
-    rows = rows.withColumn("_doc", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
-    rows = rows.join(gaps.withColumnRenamed("page", "_page").withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("page").eqNullSafe(F.col("_page")), "left").drop("_d", "_page")
+#: A signature or an annex header is followed over so many lines at most, and a line farther back than that isn't the one before.
+REACH = 64
+#: Places are spaced so that lines of one number have their own.
+_SPACED = 1024
+
+
+def line_places(lines: DataFrame) -> DataFrame:
+    """Lines with _doc, a key that is never NULL, and _place in the act: by seq, lines without it first, by their ids."""
+    ids = F.coalesce(F.col("line_id").cast("long"), F.lit(0))
+    place = F.coalesce(F.col("seq").cast("long") * _SPACED + F.pmod(ids, F.lit(_SPACED)), ids * _SPACED - (1 << 62))
+    return lines.withColumns({"_doc": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "_place": place})
+
+
+def paragraph_lines(lines: DataFrame, gaps: DataFrame, span: int = 8192) -> DataFrame:
+    """Lines with text, each with its kind, the line before (_b) and the place of the line that opens its paragraph (_run), headings aside.
+
+    lines may have a boolean after_number: the line follows a page number that was left out. gaps: doc_id, page, q1 (see
+    blocks.continuation_gaps)."""
+    text = F.regexp_replace("text", r"^\s+|\s+$", "")
+    used = ["line_id", "doc_id", "seq", "_doc", "_place", *[c for c in _BEFORE if c != "text"], "pw", "ph", "y_top", "old_issue"]
+    flag = F.col("after_number") if "after_number" in lines.columns else F.lit(False).alias("after_number")
+    rows = line_places(lines).select(*used, flag, F.coalesce("mark", F.lit("")).alias("mark"), text.alias("text")).filter("text <> ''")
+    pages = gaps.select(F.col("doc_id").alias("_d"), F.col("page").alias("_p"), "q1")
+    rows = rows.join(pages, (F.col("doc_id") == F.col("_d")) & (F.col("page") == F.col("_p")), "left").drop("_d", "_p")
+    s = Stretches("_doc", "_place", span * _SPACED, REACH * _SPACED, 3, "line_id")
     # a line that is a signature only behind one leaves that open; all others settle it
     alone, behind = _kinds(F.lit(False)), _kinds(F.lit(True))
-    settled = F.when(~((alone != "signature") & (behind == "signature")), alone == "signature")
-    rows = carry(rows, key, order, {"_b": F.struct(*_BEFORE), "_signed": settled}, span)
-    rows = rows.withColumn("kind", _kinds(F.coalesce("_signed", F.lit(False))))
+    rows = s.spread(rows.withColumns({"_alone": alone, "_behind": behind}))
+    settled = F.when(~((F.col("_alone") != "signature") & (F.col("_behind") == "signature")), F.col("_alone") == "signature")
+    rows = rows.withColumns({"_b": s.before(F.struct(*_BEFORE)), "_signed": s.before(settled)})
+    rows = rows.withColumn("kind", F.when(F.col("_signed"), F.col("_behind")).otherwise(F.col("_alone")))
     # what stands below an annex header on the right belongs to it, as long as nothing else comes between
     below = (F.col("kind") == "p") & F.col("page").eqNullSafe(F.col("_b")["page"]) & (F.col("x0") > ANNEX_RIGHT * F.col("pw")) & (F.col("y_top") - F.col("_b")["y_bottom"] < ANNEX_GAP * F.col("font_size"))
     rows = rows.withColumn("_below", F.coalesce(below, F.lit(False)))
-    rows = carry(rows, key, order, {"_annexed": F.when(~F.col("_below"), F.col("kind") == "annex"), "_last_kind": F.col("kind")}, span)
+    rows = rows.withColumns({"_annexed": s.before(F.when(~F.col("_below"), F.col("kind") == "annex")), "_last_kind": s.before(F.col("kind"))})
     # a line of the annex header, or the header that an annex line may go on with
     rows = rows.withColumn("_in_annex", F.coalesce("_annexed", F.lit(False)) & (F.col("_below") | (F.col("kind") == "annex")))
     rows = rows.withColumn("_plain", _opens(F.col("q1")))
     # an article right below a heading opens as well: that is told in the paragraph that it would go on with
-    article = (F.col("kind") == "p") & F.col("text").rlike(ARTICLE_LABEL)
-    return rows.withColumns({"_article": article & ~F.col("_plain"), "_heading": F.col("text").rlike(HEADING_LABEL)})
+    article = (F.col("kind") == "p") & F.col("text").rlike(ARTICLE_LABEL) & ~F.col("_plain")
+    glued = F.coalesce(F.col("_b")["text"].rlike(f"{SMALL}-$") & F.col("text").rlike(f"^{SMALL}"), F.lit(False))
+    shown = rows.select("_doc", "_place", "_part", "_own", "_plain", "doc_id", "line_id", "kind", "page", "text", article.alias("_article"), F.col("text").rlike(HEADING_LABEL).alias("_heading"), glued.alias("_glued"))
+    return number_runs(shown, s, F.col("_plain"))
 
 
-def segment(lines: DataFrame, gaps: DataFrame, span: int = 4096) -> DataFrame:
+def segment(lines: DataFrame, gaps: DataFrame, span: int = 8192) -> DataFrame:
     """Paragraphs of the lines of each act: doc_id, first_line, kind, page, text, lines.
 
     A new paragraph begins where the kind changes, at annex headers and signatures, at a gap beyond the page's usual one, and at a
@@ -112,13 +132,10 @@ def segment(lines: DataFrame, gaps: DataFrame, span: int = 4096) -> DataFrame:
     without an act belong together; lines without seq come first, by their ids. NULL and blank lines are left out.
     """
     rows = paragraph_lines(lines, gaps, span)
-    opens = F.col("_plain").cast("int")
-    placed = running_sum(rows, ["_doc"], ["seq", "line_id"], opens, "_before", span=span).withColumn("_no", F.col("_before") + opens)
     # a word cut at the line before is closed
-    glued = F.coalesce(F.col("_b")["text"].rlike(f"{SMALL}-$") & F.col("text").rlike(f"^{SMALL}"), F.lit(False))
-    piece = F.concat(F.when(glued, "\u0001").otherwise(" "), F.col("text"))
-    part = F.struct(F.coalesce("seq", F.lit(-1)).alias("seq"), "line_id", piece.alias("piece"), "doc_id", "kind", "page", "_heading", "_article")
-    grouped = placed.groupBy("_doc", "_no").agg(F.array_sort(F.collect_list(part)).alias("p"))
+    piece = F.concat(F.when(F.col("_glued"), "\u0001").otherwise(" "), F.col("text"))
+    part = F.struct("_place", "line_id", piece.alias("piece"), "doc_id", "kind", "page", "_heading", "_article")
+    grouped = rows.groupBy("_doc", "_run").agg(F.array_sort(F.collect_list(part)).alias("p"))
     # a paragraph that begins with a heading ends before its first article
     cut = F.when(F.element_at("p", 1)["_heading"], F.array_position(F.transform("p", lambda x: x["_article"]), True)).otherwise(0).cast("int")
     halves = F.when(cut > 1, F.array(F.slice("p", F.lit(1), cut - 1), F.slice("p", cut, F.size("p")))).otherwise(F.array("p"))
@@ -133,51 +150,49 @@ _NOTE_POINT = r"^(\d+)\)\s"
 _NOTE_LETTER = r"^([a-z]{1,2})\)\s"
 
 
-def group_notes(lines: DataFrame, span: int = 4096) -> DataFrame:
-    """Notes of the lines below the rules of an act's pages, in order, also over the ends of pages: doc_id, note_no, page, label, text.
+#: A list of points, and the note that a letter follows, are followed over so many lines at most.
+NOTE_REACH = 512
+
+
+def group_notes(lines: DataFrame, span: int = 8192) -> DataFrame:
+    """Notes of the lines below the rules of an act's pages, in order, also over the ends of pages: doc_id, first_seq, page, label, text.
 
     A marker, raised figure, star or number with a bracket opens a note. Numbered points stay in a note if a list is going on: it
     begins with 1 behind a colon and has no gap; each point begins a line of its own. A letter opens a note if it follows the letter of the note
-    before, which has to have ended. Everything else goes on. lines: doc_id, page, seq, text; NULL and blank lines are left out.
+    before, which has to have ended. Everything else goes on. lines: doc_id, page, seq (order in the act), text; NULL and blank
+    lines are left out.
     """
-    key, order = ["_doc"], ["_page", "seq"]
-    rows = lines.select("doc_id", "page", "seq", F.trim("text").alias("text")).filter("text <> ''")
-    rows = rows.withColumns({"_doc": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "_page": F.coalesce(F.col("page"), F.lit(0))})
+    s = Stretches("_doc", "_place", span, NOTE_REACH, 4)
+    rows = lines.select("doc_id", "page", F.coalesce(F.col("seq").cast("long"), F.lit(-1)).alias("_place"), F.trim("text").alias("text")).filter("text <> ''")
     number = F.regexp_extract("text", _NOTE_POINT, 1).try_cast("int")
     letter = F.nullif(F.regexp_extract("text", _NOTE_LETTER, 1), F.lit(""))
-    labelled = F.col("text").rlike(NOTE_LABEL) & letter.isNull()
-    rows = rows.withColumns({"_number": number, "_letter": letter, "_labelled": labelled})
-    # events are numbered or labelled lines; a list goes on as long as each event is the next number
-    event = F.when(F.col("_labelled"), F.coalesce("_number", F.lit(-1)))
-    rows = carry(rows, key, order, {"_last": event, "_text": F.col("text")}, span)
-    begins = (F.col("_number") == 1) & F.col("_text").endswith(":")
-    next_one = F.col("_number") == F.col("_last") + 1
-    rows = rows.withColumns({"_begins": F.coalesce(begins, F.lit(False)), "_next": F.coalesce(next_one, F.lit(False))})
+    # letters as numbers, a to z and aa to zz
+    own = F.coalesce(F.nullif(F.regexp_extract("text", r"^\[\^([a-z]{1,2})\]", 1), F.lit("")), letter)
+    code = F.when(F.length(own) == 2, 26 * (F.ascii(own) - 96) + F.ascii(F.substring(own, 2, 1)) - 96).when(F.length(own) == 1, F.ascii(own) - 96).otherwise(0)
+    rows = rows.withColumns({
+        "_doc": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "_number": number, "_letter": letter.isNotNull(),
+        "_labelled": F.col("text").rlike(NOTE_LABEL) & letter.isNull(), "_code": code,
+    })
+    rows = s.spread(rows)
+    # events are labelled lines; a list goes on as long as each event is the next number
+    rows = rows.withColumns({"_text": s.before(F.right("text", F.lit(1))), "_last": s.before(F.when(F.col("_labelled"), F.coalesce("_number", F.lit(-1))))})
+    begins = F.coalesce((F.col("_number") == 1) & (F.col("_text") == ":"), F.lit(False))
+    rows = rows.withColumns({"_begins": begins, "_next": F.coalesce(F.col("_number") == F.col("_last") + 1, F.lit(False))})
     # the event that the run of numbers began with tells whether it is a list
-    root = F.when(F.col("_labelled") & (F.col("_begins") | ~F.col("_next")), F.col("_begins"))
-    rows = carry(rows, key, order, {"_root": root}, span)
+    rows = rows.withColumn("_root", s.before(F.when(F.col("_labelled") & (F.col("_begins") | ~F.col("_next")), F.col("_begins"))))
     rows = rows.withColumn("_point", F.col("_labelled") & (F.col("_begins") | (F.col("_next") & F.coalesce("_root", F.lit(False)))))
-    # letters: the note before has the letter before and has ended
-    own = F.regexp_extract("text", r"^(?:\[\^([a-z]{1,2})\])", 1)
-    mark = F.coalesce(F.nullif(own, F.lit("")), F.col("_letter"))
-    opener = F.col("_labelled") & ~F.col("_point")
-    candidate = F.col("_letter").isNotNull() & F.coalesce(F.col("_text").endswith("."), F.lit(False))
-    code = F.aggregate(F.transform(F.filter(F.split(mark, ""), lambda c: c != ""), lambda c: F.ascii(c) - 96), F.lit(0), lambda s, x: s * 26 + x)
-    # letters opened so form a run, as the points do: the event before is the letter before
-    rows = rows.withColumns({"_code": F.when(mark.isNotNull(), code).otherwise(F.lit(0)), "_candidate": candidate, "_opener": opener})
-    both = F.when(F.col("_opener") | F.col("_candidate"), F.col("_code"))
-    rows = carry(rows, key, order, {"_before_code": both}, span)
-    follows = F.coalesce(F.col("_before_code") > 0, F.lit(False)) & (F.col("_code") == F.col("_before_code") + 1) & F.col("_candidate")
-    rows = rows.withColumn("_follows", F.coalesce(follows, F.lit(False)))
-    start = F.when(F.col("_opener") | (F.col("_candidate") & ~F.col("_follows")), F.col("_opener") | F.col("_before_code").isNull())
-    rows = carry(rows, key, order, {"_run": start}, span)
-    first = F.col("_text").isNull()
-    rows = rows.withColumn("opens", first | F.col("_opener") | (F.col("_follows") & F.coalesce("_run", F.lit(False))))
-    placed = running_sum(rows, key, order, F.col("opens").cast("int"), "_before", span=span).withColumn("note_no", (F.col("_before") + F.col("opens").cast("int")).cast("int"))
-    piece = F.concat(F.when(F.col("opens"), "").when(F.col("_point"), "\n").otherwise(" "), F.col("text"))
-    parts = F.array_sort(F.collect_list(F.struct("_page", "seq", piece.alias("piece"))))
-    head = F.min_by(F.struct("doc_id", "page", F.col("text").alias("first")), F.struct("_page", "seq")).alias("_head")
-    grouped = placed.groupBy("_doc", "note_no").agg(head, parts.alias("_parts"))
-    label = F.coalesce(*[F.nullif(F.regexp_extract("_head.first", NOTE_LABEL, k), F.lit("")) for k in range(2, 7)])
+    # letters behind an ended note; those that open one form a run as the points do
+    opener, candidate = F.col("_labelled") & ~F.col("_point"), F.col("_letter") & F.coalesce(F.col("_text") == ".", F.lit(False))
+    rows = rows.withColumns({"_opener": opener, "_candidate": candidate})
+    rows = rows.withColumn("_code_before", s.before(F.when(F.col("_opener") | F.col("_candidate"), F.col("_code"))))
+    rows = rows.withColumn("_follows", F.coalesce(F.col("_candidate") & (F.col("_code_before") > 0) & (F.col("_code") == F.col("_code_before") + 1), F.lit(False)))
+    start = F.when(F.col("_opener") | (F.col("_candidate") & ~F.col("_follows")), F.col("_opener") | F.col("_text").isNull())
+    rows = rows.withColumn("_open_run", s.before(start))
+    opens = F.col("_text").isNull() | F.col("_opener") | (F.col("_follows") & F.coalesce("_open_run", F.lit(False)))
+    placed = number_runs(rows.select("_doc", "_place", "_part", "_own", "doc_id", "page", "text", "_point", opens.alias("_opens")), s, F.col("_opens"))
+    piece = F.concat(F.when(F.col("_opens"), "").when(F.col("_point"), "\n").otherwise(" "), F.col("text"))
+    parts = F.array_sort(F.collect_list(F.struct("_place", piece.alias("piece"), "doc_id", "page", "text")))
+    grouped = placed.groupBy("_doc", "_run").agg(parts.alias("p")).withColumn("h", F.element_at("p", 1))
+    label = F.coalesce(*[F.nullif(F.regexp_extract("h.text", NOTE_LABEL, k), F.lit("")) for k in range(2, 7)])
     label = F.translate(label, "⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
-    return grouped.select("_head.doc_id", "note_no", "_head.page", label.alias("label"), F.array_join(F.transform("_parts", lambda p: p["piece"]), "").alias("text"))
+    return grouped.select("h.doc_id", F.col("h._place").alias("first_seq"), "h.page", label.alias("label"), F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("text"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.common import previous, table
-from folioflow.functions.text import clean_title, masked
+from folioflow.functions.text import SMALL, clean_title, masked
 from folioflow.operators import blocks as b
-from folioflow.operators import catalog, layout, measures, sampling
+from folioflow.operators import catalog, layout, measures, paragraphs, sampling
 from folioflow.plans.register import Register
 
 query = Register()
@@ -293,7 +293,62 @@ def continuation_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return b.continuation_gaps(_lines(spark, sf))
 
 
-@query()
+def _segment_sql() -> str:
+    """The rules of paragraphs.segment as SQL over whole acts."""
+    p = paragraphs
+    rx = lambda text, pattern: f"regexp_matches({text}, '{pattern}')"
+
+    def kind(after: str) -> str:
+        right = lambda share: f"(NOT (coalesce(x0, 0) > 0) OR coalesce(x0 > {share} * w, false))"
+        annex, sign = rx("t", p.ANNEX_LABEL), rx("t", p.SIGNATURE_LABEL)
+        top = f"(NOT (coalesce(x0, 0) > 0) OR coalesce(y_top, 0) < {p.TOP} * coalesce(ph, 842))"
+        flush = f"(coalesce(x0 > {p.INSET} * w, false) AND coalesce(x1 > (CASE WHEN right_edge > 0 THEN right_edge ELSE 0.9 * w END) - 0.01 * w, false))"
+        return f"""CASE WHEN mark <> '' AND {annex} AND nw <= {p.ANNEX_WORDS} THEN 'annex' WHEN mark <> '' AND {sign} AND nw <= {p.SIGNATURE_WORDS} THEN 'signature' WHEN mark <> '' THEN mark
+WHEN {annex} AND {right(p.ANNEX_RIGHT)} AND ({top} OR {after}) THEN 'annex' WHEN {annex} AND {after} AND coalesce(old_issue, false) THEN 'annex'
+WHEN {sign} AND ({right(p.RIGHT)} OR {flush} OR {after}) THEN 'signature' ELSE 'p' END"""
+
+    reach = p.REACH * 1024
+    past = "(PARTITION BY doc ORDER BY place, line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    before = lambda v: f"(last_value(CASE WHEN ({v}) IS NOT NULL THEN {{'v': {v}, 'p': place}} END IGNORE NULLS) OVER {past})"
+    near = lambda x: f"CASE WHEN place - {x}.p <= {reach} THEN {x}.v END"
+    gap = "(CASE WHEN y_bottom > 0 AND b.y_bottom > 0 THEN y_top - b.y_bottom END)"
+    size = "coalesce(font_size, 10)"
+    rank = lambda x: f"coalesce(try_cast(nullif({x}, '') AS INT), CASE WHEN {x} <> '' THEN ascii({x}) + 1000 END)"
+    mine, last = (f"regexp_extract({t}, '{p.POINT_LABEL}', 1)" for t in ("t", "b.t"))
+    return f"""
+WITH g0 AS (SELECT *, round((y_top - lag(y_bottom) OVER (PARTITION BY doc_id, page ORDER BY seq, line_id)) / font_size, 4) AS gap FROM {_LINES} WHERE y_bottom > 0 AND font_size > 0),
+g1 AS (SELECT doc_id, page, list_sort(list(gap)) AS v FROM g0 WHERE gap IS NOT NULL AND NOT {rx("text", b.UNIT)} GROUP BY ALL HAVING count(*) >= 5),
+g AS (SELECT doc_id, page, v[len(v) // 4 + 1] AS q1 FROM g1),
+l AS (SELECT DISTINCT line_id, doc_id, seq, page, band, col, x0, x1, y_top, y_bottom, font_size, right_edge, line_lead, pw, ph, old_issue, coalesce(mark, '') AS mark, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM act_lines),
+r AS (SELECT l.*, q1, coalesce('=' || l.doc_id, '') AS doc, CASE WHEN pw > 0 THEN pw ELSE 595 END AS w, len(regexp_split_to_array(t, '\\s+')) AS nw,
+  CASE WHEN seq IS NULL THEN coalesce(line_id, 0)::HUGEINT * 1024 - 4611686018427387904 ELSE seq::HUGEINT * 1024 + coalesce(line_id, 0) % 1024 END AS place FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.page = l.page WHERE t <> ''),
+k AS (SELECT *, {kind("false")} AS k0, {kind("true")} AS k1 FROM r),
+s AS (SELECT *, {before("CASE WHEN NOT (k0 <> 'signature' AND k1 = 'signature') THEN k0 = 'signature' END")} AS s0,
+  {before("{'page': page, 'band': band, 'col': col, 'x0': x0, 'x1': x1, 'y_bottom': y_bottom, 'font_size': font_size, 'right_edge': right_edge, 'line_lead': line_lead, 't': t}")} AS b0 FROM k),
+n AS (SELECT *, {near("s0")} AS signed, {near("b0")} AS b FROM s),
+m AS (SELECT *, CASE WHEN signed THEN k1 ELSE k0 END AS kind FROM n),
+a AS (SELECT *, coalesce(kind = 'p' AND page IS NOT DISTINCT FROM b.page AND b IS NOT NULL AND x0 > {p.ANNEX_RIGHT} * pw AND y_top - b.y_bottom < {p.ANNEX_GAP} * font_size, false) AS below FROM m),
+c AS (SELECT *, {before("CASE WHEN NOT below THEN kind = 'annex' END")} AS c0, {before("kind")} AS l0 FROM a),
+d AS (SELECT *, coalesce({near("c0")}, false) AS annexed, {near("l0")} AS last_kind FROM c),
+e AS (SELECT *, annexed AND (below OR kind = 'annex') AS in_annex, page IS NOT DISTINCT FROM b.page AS same_page, band IS NOT DISTINCT FROM b.band AND col IS NOT DISTINCT FROM b.col AS same_column, {gap} AS gap,
+  greatest({p.GAP}, coalesce(q1, 0) + {p.BEYOND}) AS lim, coalesce(b.x1 > 0 AND b.x1 < b.right_edge - {p.SHORT} * coalesce(b.font_size, 10), false) AS short,
+  {rx("b.t", "[.:;”]$")} AS ended, {rx("b.t", "[.:;,”]$")} AS closed, {rx("b.t", p.LEFT_OUT)} AS left_out, {rx("t", p.UNIT_LABEL)} AS unit, {rx("t", p.ITEM_LABEL)} AS item,
+  {mine} AS mine, coalesce({rank(mine)} = {rank(last)} + 1 AND abs(x0 - b.x0) < 1, false) AS follows FROM d),
+f AS (SELECT *, mine <> '' AND (short OR follows) AND coalesce(gap >= 0, false) AND coalesce(abs(font_size - b.font_size) < 0.5, false) AND right(b.t, 1) <> '-' AS point, coalesce(b.line_lead >= 0 AND gap > b.line_lead + {p.LEAD}, false) AS lead FROM e),
+o AS (SELECT *, CASE WHEN b IS NULL THEN true WHEN kind = 'annex' THEN NOT (in_annex AND same_page AND coalesce(gap < {p.ANNEX_GAP} * {size}, true)) WHEN kind <> 'p' THEN true WHEN in_annex THEN false WHEN annexed OR last_kind <> 'p' THEN true
+  WHEN same_page AND same_column THEN NOT coalesce(gap < lim * {size}, true) OR (lim > {p.GAP} AND short) OR (unit AND (lead OR (short AND closed) OR point OR left_out OR (gap IS NULL AND ended) OR (lim > {p.GAP} AND (item OR closed))))
+  ELSE unit OR ended OR left_out END AS plain FROM f),
+i AS (SELECT doc, place, line_id, doc_id, kind, page, t, kind = 'p' AND {rx("t", p.ARTICLE_LABEL)} AND NOT plain AS article, {rx("t", p.HEADING_LABEL)} AS heading,
+  coalesce({rx("b.t", SMALL + "-$")} AND {rx("t", "^" + SMALL)}, false) AS glued, sum(plain::INT) OVER (PARTITION BY doc ORDER BY place, line_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+j AS (SELECT *, row_number() OVER x AS k, first_value(heading) OVER x AS headed FROM i WINDOW x AS (PARTITION BY doc, run ORDER BY place, line_id)),
+q AS (SELECT *, min(CASE WHEN article THEN k END) OVER (PARTITION BY doc, run) AS cut FROM j)
+SELECT min_by(doc_id, k) AS doc_id, min_by(line_id, k) AS first_line, min_by(kind, k) AS kind, min_by(page, k) AS page, count(*)::INT AS lines,
+  regexp_replace(replace(string_agg(CASE WHEN glued THEN chr(1) ELSE ' ' END || t, '' ORDER BY k), '-' || chr(1), ''), '^[ \\x01]', '') AS text
+FROM q GROUP BY doc, run, CASE WHEN headed AND cut > 1 AND k >= cut THEN 1 ELSE 0 END
+"""
+
+
+@query(_segment_sql())
 def segment_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of all lines."""
     return b.segment(table(spark, sf, "act_lines"))
