@@ -94,6 +94,17 @@ def running_sum(
     )
 
 
+def running_least(df: DataFrame, keys: list[str], position: list[str], value: Column, out: str, span: int = 4096) -> DataFrame:
+    """Inclusive running minimum of value per key, in the order of integer columns, as running_sum is made. keys must not be NULL."""
+    bucket = F.coalesce(F.floor(F.col(position[0]) / F.lit(span)), F.lit(-(1 << 50)))
+    rows = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys, "_bucket").agg(F.min("_value").alias("_least")).select(*keys, "_bucket", F.min("_least").over(earlier).alias("_before"))
+    within = Window.partitionBy(*keys, "_bucket").orderBy(*position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("_within", F.min("_value").over(within)).join(before, [*keys, "_bucket"])
+    return joined.select(*df.columns, F.least("_within", F.coalesce("_before", "_within")).alias(out))
+
+
 class Stretches:
     """Rows of a key in the order of an integer place, in stretches that know the rows before them.
 

@@ -17,8 +17,8 @@ query = Register()
 QUERIES, ORACLE = query.queries, query.oracle
 _TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 
-_TYPE = r"""CASE WHEN regexp_matches(l, '^Art\. ?[0-9]+[a-z]{0,2}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.?(\s|$)') THEN 'art' WHEN regexp_matches(l, '^§ ?[0-9]+[a-z]{0,2}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.?(\s|$)') THEN 'par'
-WHEN regexp_matches(l, '^[0-9]+[a-z]{0,2}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.(\s|$)') THEN 'ust' WHEN regexp_matches(l, '^[0-9]+[a-z]{0,2}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\)(\s|$)') THEN 'pkt' WHEN regexp_matches(l, '^[a-z]{1,2}\)(\s|$)') THEN 'lit' WHEN regexp_matches(l, '^[–-]\s') THEN 'tir' END"""
+_TYPE = r"""CASE WHEN regexp_matches(l, '^Art\. ?[0-9]+[a-zł]{0,3}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.?(\s|$)') THEN 'art' WHEN regexp_matches(l, '^§ ?[0-9]+[a-zł]{0,3}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.?(\s|$)') THEN 'par'
+WHEN regexp_matches(l, '^[0-9]+[a-zł]{0,3}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\.(\s|$)') THEN 'ust' WHEN regexp_matches(l, '^[0-9]+[a-zł]{0,3}[⁰¹²³⁴⁵⁶⁷⁸⁹]*\)(\s|$)') THEN 'pkt' WHEN regexp_matches(l, '^[a-z]{1,3}\)(\s|$)') THEN 'lit' WHEN regexp_matches(l, '^[–-]\s') THEN 'tir' END"""
 
 
 @query(f"WITH x AS (SELECT unnest(string_split(text, chr(10))) AS l FROM documents) SELECT {_TYPE} AS type, count(*) AS n FROM x GROUP BY 1")
@@ -38,13 +38,13 @@ WITH n AS (SELECT *, sum(CASE WHEN kind = 'annex' THEN 1 ELSE 0 END) OVER (PARTI
 SELECT doc_id, part::BIGINT AS part, CASE WHEN bool_or(regexp_matches(text, '^Art\\. ?[0-9]')) THEN 'Art.' ELSE '§' END AS unit FROM n GROUP BY ALL
 """)
 def heading_units(spark: SparkSession, sf: str) -> DataFrame:
-    return markdown.heading_unit(b.parts(_blocks(spark, sf)).withColumn("depth", F.lit(0)))
+    return markdown.heading_unit(b.parts(markdown.with_depth(_blocks(spark, sf))))
 
 
 @query()
 def act_markdown(spark: SparkSession, sf: str) -> DataFrame:
     """Markdown of all acts with blocks, with front matter of their newest listing."""
-    blocks = b.parts(_blocks(spark, sf)).withColumn("depth", F.lit(0))
+    blocks = b.parts(markdown.with_depth(_blocks(spark, sf)))
     notes = b.number_labels(b.note_labels(_notes(spark, sf)))
     meta = table(spark, sf, "acts_meta")
     columns = [c for c in meta.columns if c not in ("eli", "received_at")]
