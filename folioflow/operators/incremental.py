@@ -1,11 +1,19 @@
 """Processing only new or changed records.
 
-Source rows carry a commit sequence that only grows. A run reads the rows above the last committed
-watermark and up to a limit fixed when it starts, so rows that arrive meanwhile wait for the next
-run. Its output and the new watermark become visible in one step: the output is written under a name
-of its own, then a manifest that names both is created with a rename that fails if that version
-exists already. A run that dies before leaves files that no manifest names; the next run starts from
-the same watermark. Two runs at once can't both commit.
+Sources carry a clock (an integer such as the time of receipt), which is no commit sequence: rows arrive late, with the clock of
+rows that were read long ago, and several have the same. So every run journals the rows that no run has read yet, and the version
+of the commit that makes them visible is their commit sequence; it only grows, and whoever reads the journal above a watermark
+skips and repeats nothing. What is new is told by digests of the source in blocks of the clock: only blocks whose digest is not the
+committed one are read, and of their rows only those not in the journal go on.
+
+A run reads up to a limit of the clock that is fixed when it starts; later rows wait for the next run. Its journal, its output, the
+digests and the watermark become visible in one step: files are written under names of their own, then a manifest that names
+them is created with a rename that fails if that version exists already. A run that dies before leaves files that no
+manifest names; the next one starts from the same state. Two runs at once can't both commit. The rename is atomic on HDFS and
+local file systems; an object store needs a committer of its own in place of CommitLog.commit.
+
+What a run writes is in proportion to what is new: outputs are lists of files, merged as the digits of a binary counter are carried, so
+that each row is written again a logarithmic number of times.
 """
 
 from __future__ import annotations
@@ -29,7 +37,17 @@ class CommitConflict(RuntimeError):
 class Commit:
     version: int
     watermark: dict[str, int | None]
-    outputs: dict[str, str]
+    #: Files of each output, oldest first, as pairs of path and how often they were merged.
+    outputs: dict[str, list]
+
+
+@dataclass(frozen=True)
+class Source:
+    """Rows, the name of their clock column, and how wide a block of the clock is."""
+
+    rows: DataFrame
+    clock: str
+    width: int
 
 
 class CommitLog:
@@ -89,56 +107,92 @@ class CommitLog:
 
 
 def above(df: DataFrame, sequence: str, low: int | None, high: int | None) -> DataFrame:
-    """Rows of one run: low < sequence <= high. Rows without a sequence can't be placed; every run reads them again."""
+    """Rows of a commit sequence above the watermark low and up to high."""
     seq = F.col(sequence)
     inside = seq <= F.lit(high) if high is not None else F.lit(False)
-    if low is not None:
-        inside = inside & (seq > F.lit(low))
-    return df.filter(inside | seq.isNull())
+    return df.filter(inside & (seq > F.lit(low)) if low is not None else inside)
+
+
+def _digests(rows: DataFrame) -> DataFrame:
+    """Count and sum of hashes of the rows of each block: _block, _n, _sum."""
+    columns = [c for c in rows.columns if c != "_block"]
+    return rows.groupBy("_block").agg(F.count("*").alias("_n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("_sum"))
+
+
+def _new_rows(source: DataFrame, digests: DataFrame | None, journal: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows (with _block) of changed blocks that aren't in the journal yet, each once, and the digests of those blocks."""
+    found = _digests(source)
+    if digests is None:
+        return source.distinct(), found
+    # the newest digest of a block holds
+    known = digests.groupBy("_block").agg(F.max_by(F.struct("_n", "_sum"), "_version").alias("k")).select("_block", "k.*")
+    same = [found[c].eqNullSafe(known[c]) for c in ("_block", "_n", "_sum")]
+    changed = found.join(known, same, "left_anti")
+    blocks = changed.select(F.col("_block").alias("_b"))
+    rows = source.join(blocks, source["_block"].eqNullSafe(blocks["_b"]), "left_semi").distinct()
+    seen = journal.join(blocks, journal["_block"].eqNullSafe(blocks["_b"]), "left_semi")
+    return rows.join(seen, [rows[c].eqNullSafe(seen[c]) for c in rows.columns], "left_anti"), changed
+
+
+def append_output(log: CommitLog, old: list, df: DataFrame, version: int, name: str) -> tuple[list, DataFrame]:
+    """The files of an output with df added; files of the same age are merged with it. Also df as written, by its version."""
+    kept, merged, level = list(old), [], 0
+    while kept and kept[-1][1] == level:
+        merged.append(kept.pop()[0])
+        level += 1
+    rows = df.withColumn("_version", F.lit(version))
+    for path in merged:
+        rows = rows.unionByName(log.spark.read.parquet(path))
+    path = log.output_path(version, name)
+    rows.write.parquet(path)
+    written = log.spark.read.schema(rows.schema).parquet(path)
+    return [*kept, [path, level]], written.filter(F.col("_version") == version).drop("_version")
+
+
+def read_output(log: CommitLog, name: str, commit: Commit | None = None) -> DataFrame:
+    """All rows that runs have added to an output, with _version, their commit sequence."""
+    commit = commit or log.latest()
+    if commit is None:
+        raise LookupError("nothing has been committed")
+    return log.spark.read.parquet(*[path for path, _ in commit.outputs[name]])
 
 
 def run_increment(
-    log: CommitLog,
-    sources: dict[str, tuple[DataFrame, str]],
-    process: Callable[[dict[str, DataFrame], dict[str, DataFrame] | None], dict[str, DataFrame | Callable]],
-    upper: dict[str, int | None] | None = None,
+    log: CommitLog, sources: dict[str, Source],
+    process: Callable[[dict[str, DataFrame], dict[str, DataFrame] | None], dict[str, DataFrame]], upper: dict[str, int | None] | None = None,
 ) -> Commit:
-    """One run. sources: name -> (rows, name of the sequence column, a growing integer).
+    """One run. process gets the new rows of each source, each row once over all runs, and everything that earlier runs have
+    journalled and put out, by name (None at the first run), and returns rows to add to the outputs by name.
 
-    process gets the new rows of each source and the outputs of the last commit (None at the first
-    run) and returns the outputs by name. An output that rests on others of the same run is a function of
-    them: it gets the written ones by name, so that nothing is computed twice. Rows without a sequence are given to every run, so process
-    has to take the same row twice without a change of its result; the last state does the rest.
-    upper fixes the limits; the default is the highest sequence at the start.
+    upper fixes the limits of the clocks; the default is the highest clock at the start. Rows without a clock are read by every run
+    and go on once as well. Rows delivered twice are one row.
     """
-    spark = log.spark
     last = log.latest()
-    high = upper or {n: df.agg(F.max(seq)).first()[0] for n, (df, seq) in sources.items()}
+    version = last.version + 1 if last else 1
+    high = upper or {n: s.rows.agg(F.max(s.clock)).first()[0] for n, s in sources.items()}
+    state = {n: read_output(log, n, last) for n in last.outputs} if last else None
+    outputs: dict[str, list] = dict(last.outputs) if last else {}
+    batch = {}
+    for name, source in sources.items():
+        clock = F.col(source.clock)
+        limit = clock.isNull() | (clock <= F.lit(high.get(name))) if high.get(name) is not None else clock.isNull()
+        rows = source.rows.filter(limit).withColumn("_block", F.floor(clock / source.width))
+        new, digests = _new_rows(rows, state[f"{name}_digests"] if state else None, state[name].drop("_version") if state else None)
+        for output, df in ((name, new), (f"{name}_digests", digests)):
+            outputs[output], written = append_output(log, outputs.get(output, []), df, version, output)
+            if output == name:
+                batch[name] = written.drop("_block")
+    before = {n: df.drop("_block", "_version") if n in sources else df for n, df in state.items()} if state else None
+    for name, df in process(batch, before).items():
+        outputs[name], _ = append_output(log, outputs.get(name, []), df, version, name)
+    # a limit below the watermark must not move it back
     low = last.watermark if last else {}
-    # a limit below the watermark reads nothing and must not move the watermark back
     mark = {n: max([x for x in (low.get(n), high.get(n)) if x is not None], default=None) for n in sources}
-    batch = {n: above(df, seq, low.get(n), high.get(n)) for n, (df, seq) in sources.items()}
-    version = last.version + 1 if last else 1
-    state = {n: spark.read.parquet(p) for n, p in last.outputs.items()} if last else None
-    outputs, written = {}, {}
-    for name, df in process(batch, state).items():
-        df = df(written) if callable(df) else df
-        path = log.output_path(version, name)
-        df.write.parquet(path)
-        outputs[name] = path
-        written[name] = spark.read.schema(df.schema).parquet(path)
     commit = Commit(version, mark, outputs)
     log.commit(commit)
     return commit
 
 
-def read_output(log: CommitLog, name: str) -> DataFrame:
-    commit = log.latest()
-    if commit is None:
-        raise LookupError("nothing has been committed")
-    return log.spark.read.parquet(commit.outputs[name])
-
-
 #: A release number as a whole word: more digits, suffixes or further parts make it another one.
 VERSION = r"(?:^|[^0-9A-Za-z.])[vV]?(\d+(?:\.\d+)+)(?![0-9A-Za-z]|[.+~_-][0-9A-Za-z])"
 
@@ -178,33 +232,39 @@ def attempt_rows(index_log: DataFrame, releases: DataFrame) -> DataFrame:
 
 
 def plan_process(batch: dict[str, DataFrame], state: dict[str, DataFrame] | None) -> dict[str, DataFrame]:
-    """State of the refresh plan and the plan itself after one run.
-
-    Outputs: listings (newest listing per act), settled (distinct act and instant converted), plan
-    (acts to convert: text in PDF, none in HTML, newest listing not settled).
-    """
+    """What one run changes in the refresh plan: eli, changed_us, wanted (text in PDF, none in HTML, newest listing not settled) of the
+    acts with a new listing or a new attempt."""
     listings, settled = batch["listings"], batch["attempts"].select("eli", "changed_us")
+    touched = listings.select("eli").unionByName(settled.select("eli")).distinct()
     if state:
-        listings = listings.unionByName(state["listings"])
-        settled = settled.unionByName(state["settled"])
+        listings = listings.unionByName(state["listings"].join(touched, "eli", "left_semi"))
+        settled = settled.unionByName(state["attempts"].select("eli", "changed_us").join(touched, "eli", "left_semi"))
+    newest = newest_listings(listings)
+    done = settled.distinct().withColumn("done", F.lit(True))
+    wanted = F.coalesce(F.col("text_pdf") & ~F.coalesce("text_html", F.lit(False)) & F.col("done").isNull(), F.lit(False))
+    return {"plan": newest.join(done, ["eli", "changed_us"], "left").select("eli", "changed_us", wanted.alias("wanted"))}
+
+
+def current_plan(log: CommitLog) -> DataFrame:
+    """The committed plan: eli, changed_us of the acts whose last word is that they are wanted."""
+    rows = read_output(log, "plan").groupBy("eli").agg(F.max_by(F.struct("changed_us", "wanted"), "_version").alias("x"))
+    return rows.filter("x.wanted").select("eli", "x.changed_us")
 
-    def plan(written: dict[str, DataFrame]) -> DataFrame:
-        wanted = written["listings"].filter("text_pdf and not coalesce(text_html, false)")
-        return wanted.join(written["settled"], ["eli", "changed_us"], "left_anti").select("eli", "changed_us")
 
-    return {"listings": newest_listings(listings), "settled": settled.distinct(), "plan": plan}
+#: Blocks of the clocks: a day of receipts, and so many attempts.
+DAY_US, ATTEMPTS = 86_400_000_000, 65_536
 
 
 def refresh_plan(log: CommitLog, acts_meta: DataFrame, index_log: DataFrame, releases: DataFrame, upper: dict | None = None) -> DataFrame:
     """One committed run of the refresh plan; returns the committed plan (eli, changed_us).
 
     A change of the releases reopens settled acts: start a new state folder then, since the attempts
-    below the watermark were judged by the old list. Rows without a commit sequence are read by every
-    run. Rows delivered twice, late listings and ties give one defined plan (see newest_listings).
+    journalled before were judged by the old list. Rows delivered twice, listings that arrive late with the clock of
+    others or none, and ties give one defined plan (see newest_listings).
     """
     sources = {
-        "listings": (listing_rows(acts_meta), "received_us"),
-        "attempts": (attempt_rows(index_log, releases), "log_id"),
+        "listings": Source(listing_rows(acts_meta), "received_us", DAY_US),
+        "attempts": Source(attempt_rows(index_log, releases), "log_id", ATTEMPTS),
     }
     # the limit of the attempts is that of the whole log, not only of the settling rows
     if upper is None:
@@ -212,4 +272,4 @@ def refresh_plan(log: CommitLog, acts_meta: DataFrame, index_log: DataFrame, rel
         received = acts_meta.agg(F.unix_micros(F.max("received_at").cast("timestamp"))).first()[0]
         upper = {"listings": received, "attempts": highest}
     run_increment(log, sources, plan_process, upper)
-    return read_output(log, "plan")
+    return current_plan(log)

@@ -17,7 +17,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _NODE = "act_part string, node_id int, post_id int, last_id int, parent_id int, ord int, depth int"
@@ -176,24 +176,24 @@ def _word(value) -> str | None:
 
 
 def _map(df: DataFrame, key: str, text: bool) -> DataFrame:
-    source = df.select(F.col(key).alias("_id"), F.col("tree").alias("_tree"))
-    # the hash tells apart records whose id is NULL
-    source = source.filter("_tree is not null").withColumn("_hash", F.xxhash64("_tree"))
+    source = df.select(F.col(key).alias("_id"), F.col("tree").alias("_tree")).filter("_tree is not null")
+    # records delivered twice go before they are parsed; the hash tells apart records whose id is NULL
+    source = source.withColumn("_hash", F.xxhash64("_tree")).dropDuplicates(["_id", "_hash"]).select("_id", "_tree")
     kind = dict(source.dtypes)["_id"]
-    schema = f"_id {kind}, _hash bigint, {_NODE}" + (f", {_TEXT}" if text else "")
+    schema = f"_id {kind}, {_NODE}" + (f", {_TEXT}" if text else "")
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, trees, hashes = (batch.column(i).to_pylist() for i in range(3))
-            cols: list[list] = [[] for _ in range(15 if text else 9)]
-            for record, tree, h in zip(ids, trees, hashes):
+            ids, trees = (batch.column(i).to_pylist() for i in range(2))
+            cols: list[list] = [[] for _ in range(14 if text else 8)]
+            for record, tree in zip(ids, trees):
                 doc = read_json(tree)
                 if doc is None:
                     continue
                 for row in number_nodes(doc):
                     node = row.pop()
-                    values = [record, h, *row]
+                    values = [record, *row]
                     if text:
                         if isinstance(node, dict):
                             quoted = node.get("quoted")
@@ -208,13 +208,12 @@ def _map(df: DataFrame, key: str, text: bool) -> DataFrame:
                     cols = [[] for _ in cols]
             yield _batch(cols, id_type, text)
 
-    out = source.mapInArrow(run, schema)
-    return out.dropDuplicates(["_id", "_hash", "node_id"]).drop("_hash").withColumnRenamed("_id", key)
+    return source.mapInArrow(run, schema).withColumnRenamed("_id", key)
 
 
 def _batch(cols: list[list], id_type: pa.DataType, text: bool) -> pa.RecordBatch:
-    names = ["_id", "_hash", "act_part", "node_id", "post_id", "last_id", "parent_id", "ord", "depth"]
-    types = [id_type, pa.int64(), pa.string()] + [pa.int32()] * 6
+    names = ["_id", "act_part", "node_id", "post_id", "last_id", "parent_id", "ord", "depth"]
+    types = [id_type, pa.string()] + [pa.int32()] * 6
     if text:
         names += ["type", "num", "path", "label", "text", "quoted"]
         types += [pa.string()] * 5 + [pa.bool_()]
@@ -236,22 +235,43 @@ def node_table(nodes: DataFrame, kind: str | None) -> DataFrame:
     return nodes.filter(F.col("type").eqNullSafe(F.lit(kind)))
 
 
+def _levels(outer: DataFrame, inner: DataFrame, key: str) -> DataFrame:
+    """Beginnings of outer nodes and the inner nodes between them, with the number of outer nodes open there (level).
+
+    Intervals of nodes are disjoint or one in the other, so a running sum of beginnings and ends along a record counts the open ones.
+    A record was one row, so its nodes fit into a window.
+    """
+    event = lambda df, place, order, change, depth: df.select(
+        key, place.alias("place"), F.lit(order).alias("order"), F.lit(change).alias("change"), F.col("node_id").alias("id"), depth.alias("depth"))
+    spans = outer.select(key, "node_id", "last_id", "depth").distinct()
+    events = (
+        event(spans, F.col("last_id") + 1, 0, -1, F.col("depth")).unionByName(event(inner.select(key, "node_id", "depth").distinct(), F.col("node_id"), 1, 0, F.col("depth")))
+        .unionByName(event(spans, F.col("node_id"), 2, 1, F.col("depth")))
+    )
+    so_far = Window.partitionBy(key).orderBy("place", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("level", F.sum("change").over(so_far)).filter("change >= 0 and level > 0")
+
+
+def _holding(rows: DataFrame, key: str) -> DataFrame:
+    """Inner nodes with the outer node that is open at their level: the last one that began there."""
+    before = Window.partitionBy(key, "level").orderBy("place", "order").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("change") == 1, F.struct("id", "depth")), ignorenulls=True).over(before)
+    return rows.withColumn("_outer", last).filter("change = 0")
+
+
 def contained(outer: DataFrame, inner: DataFrame, key: str = "tree_id") -> DataFrame:
-    """Pairs of an outer and an inner node by interval containment, within one record.
+    """Pairs of an outer and an inner node by interval containment, within one record: key, outer_id, inner_id, outer_depth, inner_depth.
 
-    The join is an equality on the record; the interval test is checked on its rows. Columns: key,
-    outer_id, inner_id, outer_depth, inner_depth.
+    An inner node is looked up once for each outer node that is open there, so no more rows are made than pairs come out.
     """
-    a = outer.select(key, F.col("node_id").alias("outer_id"), "last_id", F.col("depth").alias("outer_depth"))
-    b = inner.select(key, F.col("node_id").alias("inner_id"), F.col("depth").alias("inner_depth"))
-    inside = (F.col("inner_id") > F.col("outer_id")) & (F.col("inner_id") <= F.col("last_id"))
-    return a.join(b, key).filter(inside).drop("last_id")
+    rows = _levels(outer, inner, key)
+    each = rows.withColumn("level", F.explode(F.when(F.col("change") == 0, F.sequence(F.lit(1).cast("long"), F.col("level"))).otherwise(F.array("level"))))
+    return _holding(each, key).select(key, F.col("_outer.id").alias("outer_id"), F.col("id").alias("inner_id"), F.col("_outer.depth").alias("outer_depth"), F.col("depth").alias("inner_depth"))
 
 
 def nearest_outer(outer: DataFrame, inner: DataFrame, key: str = "tree_id") -> DataFrame:
     """For every inner node its innermost enclosing outer node: key, inner_id, outer_id."""
-    pairs = contained(outer, inner, key)
-    return pairs.groupBy(key, "inner_id").agg(F.max("outer_id").alias("outer_id"))
+    return _holding(_levels(outer, inner, key), key).select(key, F.col("id").alias("inner_id"), F.col("_outer.id").alias("outer_id"))
 
 
 def annex_rows(trees: DataFrame, key: str = "tree_id") -> DataFrame:

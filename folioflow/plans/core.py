@@ -19,6 +19,11 @@ def p1_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return nested.node_rows(table(spark, sf, "act_trees"))
 
 
+def p1_node_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Interval labels, types and numbers of all nodes."""
+    return p1_nodes(spark, sf).select("tree_id", "act_part", "node_id", "last_id", "depth", "type", "num", "path")
+
+
 def p1_annexes(spark: SparkSession, sf: str) -> DataFrame:
     return nested.annex_rows(table(spark, sf, "act_trees"))
 
@@ -48,7 +53,7 @@ def p2_increments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_nodes": p1_nodes, "p1_annexes": p1_annexes, "p1_point_articles": p1_point_articles,
+    "p1_found": p1_found, "p1_nodes": p1_nodes, "p1_node_labels": p1_node_labels, "p1_annexes": p1_annexes, "p1_point_articles": p1_point_articles,
     "p2_found": p2_found, "p2_increments": p2_increments,
 }
 
@@ -98,8 +103,24 @@ top AS (SELECT tree_id, p, act_part, list_filter(CASE json_type(v) WHEN 'ARRAY'
 n AS (SELECT tree_id, act_part, [p, o] AS path, i AS v, o AS ord FROM (SELECT tree_id, p, act_part, unnest(f) AS i, generate_subscripts(f, 1) AS o FROM top)
 UNION ALL SELECT tree_id, act_part, list_append(path, o), i, o FROM (SELECT tree_id, act_part, path, unnest(f) AS i, generate_subscripts(f, 1) AS o FROM (
 SELECT tree_id, act_part, path, list_filter(CASE json_type(v -> '$.children') WHEN 'ARRAY' THEN CAST(v -> '$.children' AS JSON[]) WHEN 'OBJECT' THEN [v -> '$.children'] WHEN 'VARCHAR' THEN [v -> '$.children'] ELSE [] END, lambda i: json_type(i) IN ('OBJECT', 'VARCHAR')) AS f FROM n WHERE json_type(v) = 'OBJECT'))),
-m AS (SELECT tree_id, act_part, path, ord, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY path) AS INT) AS node_id FROM n)
+m AS (SELECT tree_id, act_part, path, ord, v, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY path) AS INT) AS node_id FROM n)
 SELECT m.tree_id, m.act_part, m.node_id, coalesce(u.node_id, 0) AS parent_id, CAST(m.ord AS INT) AS ord FROM m LEFT JOIN m u ON u.tree_id = m.tree_id AND u.path = m.path[1:len(m.path) - 1] AND len(m.path) > 2
 """
 
-ORACLE = {"p1_found": _NODES_SQL, "p2_found": _PLAN_SQL, "p2_increments": _PLAN_SQL}
+_TABLES_SQL = _NODES_SQL[: _NODES_SQL.rindex("SELECT m.tree_id")]
+_WORD = lambda k: f"CASE WHEN json_type(v) = 'OBJECT' THEN v ->> '$.{k}' END"
+#: The article of a point by its path: the longest path of an article that its own begins with.
+_POINTS_SQL = _TABLES_SQL + f"""
+, t AS (SELECT tree_id, path, node_id, {_WORD("type")} AS type FROM m), a AS (SELECT * FROM t WHERE type = 'art'), p AS (SELECT * FROM t WHERE type = 'pkt')
+SELECT p.tree_id, p.node_id AS inner_id, max(a.node_id) AS outer_id FROM p JOIN a ON a.tree_id = p.tree_id AND len(a.path) < len(p.path) AND p.path[1:len(a.path)] = a.path GROUP BY ALL
+"""
+_NODE_ROWS_SQL = _TABLES_SQL + f"""
+, s AS (SELECT u.tree_id, u.node_id, max(d.node_id) AS last_id, any_value(len(u.path)) - 1 AS depth FROM m u JOIN m d ON d.tree_id = u.tree_id AND d.path[1:len(u.path)] = u.path GROUP BY ALL)
+SELECT m.tree_id, m.act_part, m.node_id, s.last_id, s.depth::INT AS depth, {_WORD("type")} AS type, {_WORD("num")} AS num, {_WORD("path").replace("v ->>", "m.v ->>").replace("json_type(v)", "json_type(m.v)")} AS path
+FROM m JOIN s ON s.tree_id = m.tree_id AND s.node_id = m.node_id
+"""
+_ANNEXES_SQL = _NODES_SQL[: _NODES_SQL.index("parts AS (")].rstrip().rstrip(",") + """
+SELECT tree_id, CAST(k AS INT) AS annex_no, CASE WHEN json_type(a) = 'OBJECT' THEN a ->> '$.heading' ELSE a ->> '$' END AS heading FROM an
+"""
+
+ORACLE = {"p1_annexes": _ANNEXES_SQL, "p1_point_articles": _POINTS_SQL, "p1_node_labels": _NODE_ROWS_SQL, "p1_found": _NODES_SQL, "p2_found": _PLAN_SQL, "p2_increments": _PLAN_SQL}

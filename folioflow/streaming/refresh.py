@@ -10,28 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from folioflow.operators.incremental import Commit, CommitLog, newest_listings
+from folioflow.operators.incremental import Commit, CommitLog, append_output, newest_listings, read_output
 from folioflow.functions.dates import instant_micros
 
 SCHEMA = "eli string, title string, change_date string, text_pdf boolean, text_html boolean, received_at timestamp"
 
 
 def apply_batch(log: CommitLog, batch: DataFrame, number: int) -> Commit | None:
-    """Merge one batch into the committed listings; None if it is there already."""
+    """Add the newest listings of one batch to the committed ones; None if the batch is there already."""
     last = log.latest()
     if last and (last.watermark.get("batch") or 0) >= number + 1:
         return None
     rows = batch.select("eli", instant_micros(F.col("change_date")).alias("changed_us"), F.unix_micros("received_at").alias("received_us"), "text_pdf", "text_html")
-    if last:
-        rows = rows.unionByName(batch.sparkSession.read.parquet(last.outputs["listings"]))
     version = last.version + 1 if last else 1
-    path = log.output_path(version, "listings")
-    newest_listings(rows).write.parquet(path)
-    commit = Commit(version, {"batch": number + 1}, {"listings": path})
+    files, _ = append_output(log, last.outputs["listings"] if last else [], newest_listings(rows), version, "listings")
+    commit = Commit(version, {"batch": number + 1}, {"listings": files})
     log.commit(commit)
     return commit
 
 
+def committed_listings(log: CommitLog) -> DataFrame:
+    """The newest listing of each act over all committed batches."""
+    return newest_listings(read_output(log, "listings"))
+
+
 def start_refresh(spark: SparkSession, source: str, state: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Stream of metadata files (JSON lines) from a folder into the committed listings of a state folder."""
     log = CommitLog(spark, state)

@@ -59,24 +59,26 @@ def test_plan(spark, tmp_path):
 
 def test_failure_changes_nothing(spark, tmp_path):
     log = inc.CommitLog(spark, f"file://{tmp_path}/s")
-    source = spark.range(10).withColumnRenamed("id", "seq")
-    keep = lambda batch, state: {"rows": batch["s"].unionByName(state["rows"]) if state else batch["s"]}
-    inc.run_increment(log, {"s": (source, "seq")}, keep, {"s": 4})
+    source = inc.Source(spark.range(10).withColumnRenamed("id", "seq"), "seq", 4)
+    keep = lambda batch, state: {"rows": batch["s"]}
+    inc.run_increment(log, {"s": source}, keep, {"s": 4})
 
     def broken(batch, state):
         raise RuntimeError("lost")
 
     with pytest.raises(RuntimeError):
-        inc.run_increment(log, {"s": (source, "seq")}, broken, {"s": 7})
+        inc.run_increment(log, {"s": source}, broken, {"s": 7})
     assert log.latest().watermark == {"s": 4} and inc.read_output(log, "rows").count() == 5
     # dies after writing its output, before the commit
     def dies(batch, state):
         return {"rows": batch["s"], "late": batch["s"].select(F.raise_error(F.lit("lost")).cast("string").alias("x"))}
 
+    assert inc.read_output(log, "rows").count() == 5
+
     with pytest.raises(Exception):
-        inc.run_increment(log, {"s": (source, "seq")}, dies, {"s": 7})
+        inc.run_increment(log, {"s": source}, dies, {"s": 7})
     assert inc.read_output(log, "rows").count() == 5
-    inc.run_increment(log, {"s": (source, "seq")}, keep)
+    inc.run_increment(log, {"s": source}, keep)
     assert sorted(r.seq for r in inc.read_output(log, "rows").collect()) == list(range(10))
 
 
@@ -93,3 +95,40 @@ def test_empty(spark, tmp_path):
     assert inc.refresh_plan(log, *tables(spark, [], [])).count() == 0
     with pytest.raises(LookupError):
         inc.read_output(inc.CommitLog(spark, f"file://{tmp_path}/none"), "plan")
+
+
+def test_late_rows_and_ties(spark, tmp_path):
+    log = inc.CommitLog(spark, f"file://{tmp_path}/s")
+    given: list[list] = []
+
+    def run(rows, upper=None):
+        df = spark.createDataFrame(rows, "clock long, what string")
+        inc.run_increment(log, {"s": inc.Source(df, "clock", 10)}, lambda batch, state: given.append(sorted(map(str, (r.what for r in batch["s"].collect())))) or {"rows": batch["s"]}, upper)
+
+    first = [(5, "a"), (5, "b"), (17, "c"), (17, "c"), (None, "n"), (30, "later")]
+    run(first, {"s": 17})
+    # with the watermark's own clock, an earlier one, in a block of its own and without one
+    late = [*first, (17, "tie"), (3, "early"), (25, "d"), (None, "m"), (17, None)]
+    run(late, {"s": 25})
+    run(late, {"s": 25})
+    run(late)
+    run(late + [(30, "end"), (5, "a")])
+    assert given == [["a", "b", "c", "n"], ["None", "d", "early", "m", "tie"], [], ["later"], ["end"]]
+    rows = inc.read_output(log, "rows")
+    assert rows.count() == rows.distinct().count() == 11
+    # the journal's commit sequence is read by a watermark
+    assert {r.what for r in inc.above(inc.read_output(log, "s"), "_version", 1, 2).collect()} == {"d", "early", "m", "tie", None}
+    assert log.latest().watermark == {"s": 30}
+
+
+def test_written_in_proportion(spark, tmp_path):
+    log = inc.CommitLog(spark, f"file://{tmp_path}/s")
+    written = []
+    for k in range(1, 17):
+        commit = inc.run_increment(log, {"s": inc.Source(spark.range(k * 1000).withColumnRenamed("id", "seq"), "seq", 1000)}, lambda batch, state: {})
+        path = commit.outputs["s"][-1][0]
+        written.append(spark.read.parquet(path).count())
+        assert len(commit.outputs["s"]) == bin(k).count("1")
+    # each row is written once, and again once for each doubling
+    assert sum(written) <= 16_000 * 5 and written[0] == written[2] == 1000 and written[15] == 16_000
+    assert inc.read_output(log, "s").count() == 16_000

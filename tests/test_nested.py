@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -61,3 +62,21 @@ def test_text_fields(spark):
     a, b = nested.node_rows(df).orderBy("node_id").collect()
     assert (a.type, a.text) == (None, "s") and (b.type, b.num, b.text, b.quoted) == ("art", "5", None, True)
     assert [tuple(r) for r in nested.annex_rows(df).collect()] == [(1, 1, "H")]
+
+
+def test_intervals_equal_all_pairs(spark):
+    rng = random.Random(3)
+
+    def node(depth):
+        return {"type": rng.choice(["art", "pkt", "lit", None]), "children": [node(depth + 1) for _ in range(rng.choice([0, 0, 1, 3]) if depth < 7 else 0)]}
+
+    trees = [(k, json.dumps({"body": [node(0) for _ in range(4)], "annexes": [{"body": [node(0)]}]})) for k in range(25)] + [(None, json.dumps({"body": [node(0)]}))]
+    nodes = nested.node_rows(spark.createDataFrame(trees, "tree_id long, tree string")).cache()
+    outer, inner = nested.node_table(nodes, "art"), nested.node_table(nodes, "pkt").unionByName(nested.node_table(nodes, "art"))
+    rows = [r for r in nodes.collect() if r.tree_id is not None]
+    pairs = {(a.tree_id, a.node_id, b.node_id, a.depth, b.depth) for a in rows for b in rows if a.type == "art" and b.type in ("art", "pkt") and a.tree_id == b.tree_id and a.node_id < b.node_id <= a.last_id}
+    assert {tuple(r) for r in nested.contained(outer, inner).filter("tree_id is not null").collect()} == pairs
+    innermost = {}
+    for t, a, b, *_ in pairs:
+        innermost[t, b] = max(a, innermost.get((t, b), 0))
+    assert {(r.tree_id, r.inner_id): r.outer_id for r in nested.nearest_outer(outer, inner).filter("tree_id is not null").collect()} == innermost

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioflow.operators.incremental import CommitLog, read_output
+from folioflow.operators.incremental import CommitLog
 from folioflow.sources import files, html
 from folioflow.streaming import refresh
 
@@ -72,7 +72,7 @@ def test_stream(spark, tmp_path):
     (src / "2.json").write_text("\n".join([row("A", "2025-02-01", 3), row("B", "2024-12-01", 4), row("C", "brak", 4)]))
     run()
     log = CommitLog(spark, state)
-    got = {r.eli: r.day for r in read_output(log, "listings").select("eli", F.date_format(F.timestamp_micros("changed_us"), "yyyy-MM-dd").alias("day")).collect()}
+    got = {r.eli: r.day for r in refresh.committed_listings(log).select("eli", F.date_format(F.timestamp_micros("changed_us"), "yyyy-MM-dd").alias("day")).collect()}
     assert got == {"A": "2025-02-01", "B": "2025-01-01"} and log.latest().version == 2
     # a batch delivered again changes nothing
     again = spark.read.schema(refresh.SCHEMA).json(f"file://{src}/2.json")
