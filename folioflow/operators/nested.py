@@ -177,23 +177,26 @@ def _word(value) -> str | None:
 
 def _map(df: DataFrame, key: str, text: bool) -> DataFrame:
     source = df.select(F.col(key).alias("_id"), F.col("tree").alias("_tree")).filter("_tree is not null")
-    # records delivered twice go before they are parsed; the hash tells apart records whose id is NULL
-    source = source.withColumn("_hash", F.xxhash64("_tree")).dropDuplicates(["_id", "_hash"]).select("_id", "_tree")
+    # records delivered twice go before they are parsed, or afterwards where labels are less than the text; the hash tells apart records
+    # whose id is NULL
+    source = source.withColumn("_hash", F.xxhash64("_tree"))
+    if text:
+        source = source.dropDuplicates(["_id", "_hash"])
     kind = dict(source.dtypes)["_id"]
-    schema = f"_id {kind}, {_NODE}" + (f", {_TEXT}" if text else "")
+    schema = f"_id {kind}, _hash bigint, {_NODE}" + (f", {_TEXT}" if text else "")
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, trees = (batch.column(i).to_pylist() for i in range(2))
-            cols: list[list] = [[] for _ in range(14 if text else 8)]
-            for record, tree in zip(ids, trees):
+            ids, trees, hashes = (batch.column(i).to_pylist() for i in range(3))
+            cols: list[list] = [[] for _ in range(15 if text else 9)]
+            for record, tree, h in zip(ids, trees, hashes):
                 doc = read_json(tree)
                 if doc is None:
                     continue
                 for row in number_nodes(doc):
                     node = row.pop()
-                    values = [record, *row]
+                    values = [record, h, *row]
                     if text:
                         if isinstance(node, dict):
                             quoted = node.get("quoted")
@@ -208,12 +211,13 @@ def _map(df: DataFrame, key: str, text: bool) -> DataFrame:
                     cols = [[] for _ in cols]
             yield _batch(cols, id_type, text)
 
-    return source.mapInArrow(run, schema).withColumnRenamed("_id", key)
+    out = source.mapInArrow(run, schema)
+    return (out if text else out.dropDuplicates(["_id", "_hash", "node_id"])).drop("_hash").withColumnRenamed("_id", key)
 
 
 def _batch(cols: list[list], id_type: pa.DataType, text: bool) -> pa.RecordBatch:
-    names = ["_id", "act_part", "node_id", "post_id", "last_id", "parent_id", "ord", "depth"]
-    types = [id_type, pa.string()] + [pa.int32()] * 6
+    names = ["_id", "_hash", "act_part", "node_id", "post_id", "last_id", "parent_id", "ord", "depth"]
+    types = [id_type, pa.int64(), pa.string()] + [pa.int32()] * 6
     if text:
         names += ["type", "num", "path", "label", "text", "quoted"]
         types += [pa.string()] * 5 + [pa.bool_()]
