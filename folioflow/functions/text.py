@@ -96,7 +96,7 @@ MONTHS = ["stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca",
 
 def written_date(text: Column) -> Column:
     """First date written as day, month name and year in a text, NULL if none or impossible."""
-    pattern = r"(?i)(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})"
+    pattern = r"(?iu)(\d{1,2})\s+(" + "|".join(MONTHS) + r")\s+(\d{4})"
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(text, pattern, 2)))
     found = F.concat_ws("-", F.regexp_extract(text, pattern, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(F.regexp_extract(text, pattern, 1), 2, "0"))
     return F.when(text.rlike(pattern), found.try_cast("date"))

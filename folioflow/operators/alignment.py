@@ -7,6 +7,7 @@ decides step by step. Everything around it (sums, rates, classes) is done with e
 from __future__ import annotations
 
 import difflib
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -246,7 +247,13 @@ def mutation_test(texts: DataFrame, key: str, tokens: str = "tokens") -> DataFra
         for kind in kinds:
             other = mutate(t, kind, draw)
             if other != t:
-                out.append((kind, matched_in_order(t, other) < len(t) or len(other) != len(t)))
+                # what both begin and end with is in order in any case, so only what differs is aligned
+                begin = next(i for i, pair in enumerate(itertools.zip_longest(t, other)) if pair[0] != pair[1])
+                end = 0
+                while end < min(len(t), len(other)) - begin and t[len(t) - 1 - end] == other[len(other) - 1 - end]:
+                    end += 1
+                same = begin + end + matched_in_order(t[begin : len(t) - end], other[begin : len(other) - end])
+                out.append((kind, same < len(t) or len(other) != len(t)))
         return out
 
     found = _rows(drawn, [key], [tokens, "_draw"], make, "kind string, noticed boolean")

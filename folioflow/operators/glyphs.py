@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -187,17 +189,9 @@ def mac_polish(text: Column, font: Column) -> Column:
 
 
 def plain_math(text: Column) -> Column:
-    """Mathematical letters and digits as plain ones, by a finite table built from their places in the code."""
-    source, target = "", ""
-    for start in range(0x1D400, 0x1D6A4, 52):
-        for i in range(52):
-            if start + i < 0x1D6A4:
-                source += chr(start + i)
-                target += chr(ord("A") + i if i < 26 else ord("a") + i - 26)
-    for start in range(0x1D7CE, 0x1D800, 10):
-        source += "".join(chr(start + i) for i in range(10))
-        target += "0123456789"
-    return F.translate(text, source, target)
+    """Mathematical letters and digits, Latin and Greek, as plain ones: those of the block of mathematical letters by their compatibility form."""
+    block = [chr(c) for c in range(0x1D400, 0x1D800) if unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+    return F.translate(text, "".join(block), "".join(unicodedata.normalize("NFKC", c) for c in block))
 
 
 def glyph_survey(chars: DataFrame) -> DataFrame:

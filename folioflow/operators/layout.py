@@ -166,7 +166,7 @@ def colophon_start(lines: DataFrame) -> DataFrame:
     """Place of the printer's note on the last page of each act, if it names a serial number: doc_id, from_seq."""
     last = lines.groupBy("doc_id").agg(F.max("page").alias("page"))
     end = lines.join(last, ["doc_id", "page"])
-    publisher = F.col("text").rlike(r"(?i)^\s*(wydawca|redakcja|egzemplarze|nakład|druk)")
+    publisher = F.col("text").rlike(r"(?iu)^\s*(wydawca|redakcja|egzemplarze|nakład|druk)")
     marks = end.groupBy("doc_id").agg(F.min(F.when(publisher, F.col("seq"))).alias("from_seq"), F.bool_or(F.col("text").rlike(r"ISSN")).alias("serial"))
     return marks.filter("serial and from_seq is not null").select("doc_id", "from_seq")
 
@@ -176,7 +176,7 @@ def scan_colophon_start(lines: DataFrame) -> DataFrame:
     last = lines.groupBy("doc_id").agg(F.max("page").alias("page"))
     end = lines.join(last, ["doc_id", "page"])
     sign = F.col("text").rlike(r"^\s*(Minister|Prezes|Marszałek|Przewodniczący)[^:]*:")
-    note = F.col("text").rlike(r"(?i)(wydawca|redakcja|tłoczono|drukarni|prenumerat|cena )")
+    note = F.col("text").rlike(r"(?iu)(wydawca|redakcja|tłoczono|drukarni|prenumerat|cena )")
     text = F.col("text").rlike(r"^\s*(§|Art\.)\s*\d")
     marks = end.groupBy("doc_id").agg(F.max(F.when(sign, F.col("seq"))).alias("signed"), F.max(F.when(text, F.col("seq"))).alias("last_unit"))
     after = end.join(marks, "doc_id").filter(note & (F.col("seq") > F.coalesce("signed", F.lit(-1))) & F.col("signed").isNotNull())

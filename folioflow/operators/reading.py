@@ -37,7 +37,7 @@ def word_gate(tokens: Column, text: Column) -> Column:
     """Three quarters of the tokens are words, at most one symbol in twenty tokens, no caption at the start."""
     words = F.size(F.filter(tokens, lambda t: t.rlike(r"^\p{L}{2,}$|^\d+$|^[aeiouwz]$")))
     symbols = F.regexp_count(text, F.lit(r"[^\p{L}\p{N}\s.,;:()§/%„”\"'–-]"))
-    return (words * 4 >= F.size(tokens) * 3) & (symbols * 20 <= F.size(tokens)) & ~text.rlike(r"(?i)^\s*(rys|tab|wzór|tablica)\b")
+    return (words * 4 >= F.size(tokens) * 3) & (symbols * 20 <= F.size(tokens)) & ~text.rlike(r"(?iu)^\s*(rys|tab|wzór|tablica)\b")
 
 
 def best_reading(readings: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -160,8 +160,9 @@ def join_split_rows(lines: DataFrame) -> DataFrame:
     """Pieces of one printed row that stand closer than 0.6 of the page's lower-quartile gap between pieces become one line."""
     order = Window.partitionBy(*PAGE).orderBy("_row", "x0")
     rows = lines.withColumn("_row", F.round((F.col("top") + F.col("bottom")) / 2 / F.greatest(F.col("bottom") - F.col("top"), F.lit(1))))
+    # the quartile is one of the gaps, as it is wherever a quartile is taken here
     gaps = rows.withColumn("_gap", F.when(F.lag("_row").over(order) == F.col("_row"), F.col("x0") - F.lag("x1").over(order)))
-    quartile = gaps.filter("_gap > 0").groupBy(*PAGE).agg(F.percentile("_gap", 0.25).alias("_q"))
+    quartile = gaps.filter("_gap > 0").groupBy(*PAGE).agg(F.get(F.sort_array(F.collect_list("_gap")), F.floor(F.count("_gap") / 4).cast("int")).alias("_q"))
     joined = gaps.join(quartile, PAGE, "left").withColumn("_new", F.coalesce(~(F.col("_gap") < 0.6 * F.col("_q")), F.lit(True)).cast("int"))
     numbered = joined.withColumn("_line", F.sum("_new").over(order))
     parts = F.array_sort(F.collect_list(F.struct("x0", "text")))
@@ -181,7 +182,7 @@ def row_order(lines: DataFrame) -> DataFrame:
 
 def old_gazette(words: Column) -> Column:
     """Whether an issue header stands in the first eighty words."""
-    return F.array_join(F.slice(words, 1, 80), " ").rlike(r"(?i)dziennik (ustaw|urzędowy)|monitor polski")
+    return F.array_join(F.slice(words, 1, 80), " ").rlike(r"(?iu)dziennik (ustaw|urzędowy)|monitor polski")
 
 
 #: Letters and the letters with marks that readers lose.
@@ -202,21 +203,24 @@ def repair_words(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Repairs of unknown words: word, repaired. tokens: word; dictionary: word.
 
     Only the distinct unknown words of three letters or more are looked at; a repair counts only if
-    exactly one candidate is known. Without one, a glued preposition of one letter is split off a word of five or more.
+    exactly one candidate is known. Without one, a glued preposition of one letter is split off a word of five or more. Candidates
+    are as long as their word, so words longer than every known one have none and aren't tried.
     """
+    longest = dictionary.agg(F.max(F.length("word")).alias("longest"))
     unknown = tokens.select(F.lower("word").alias("word")).distinct().filter(F.length("word") >= 3).join(dictionary.select(F.lower("word").alias("word")).distinct(), "word", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, tries = [], []
             for w in batch.column(0).to_pylist():
-                own = word_candidates(w) if len(w) <= 40 else []
+                own = word_candidates(w)
                 words += [w] * len(own)
                 tries += own
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(tries, pa.string())], names=["word", "try"])
 
     known = dictionary.select(F.lower("word").alias("try")).distinct()
-    marked = unknown.mapInArrow(run, "word string, try string").join(known, "try", "left_semi").groupBy("word").agg(F.count("*").alias("n"), F.min("try").alias("repaired")).filter("n = 1").drop("n")
+    tried = unknown.join(F.broadcast(longest), F.length("word") <= F.col("longest")).select("word")
+    marked = tried.mapInArrow(run, "word string, try string").join(known, "try", "left_semi").groupBy("word").agg(F.count("*").alias("n"), F.min("try").alias("repaired")).filter("n = 1").drop("n")
     glued = unknown.filter(F.length("word") >= 5).filter(F.substring("word", 1, 1).isin(*"aiouwz")).withColumn("try", F.expr("substring(word, 2)"))
     split = glued.join(known, "try", "left_semi").join(marked, "word", "left_anti").select("word", F.concat(F.substring("word", 1, 1), F.lit(" "), "try").alias("repaired"))
     return marked.unionByName(split)
@@ -233,7 +237,7 @@ def section_signs(paragraphs: DataFrame) -> DataFrame:
     number = F.regexp_extract("text", r"^\s*(\d+)\.?\s", 1).try_cast("int")
     before = F.lag(number).over(Window.partitionBy(*PAGE).orderBy("seq"))
     lists = F.col("_start").isin("8", "5") & (F.coalesce(before, F.lit(-1)) == F.col("_start").try_cast("int") - 1)
-    inner = F.regexp_replace(text, r"(?i)\b(w|z|do|od|o|według|rozumieniu|podstawie|określonych w|przepisów) [$S8] (?=\d)", "$1 § ")
+    inner = F.regexp_replace(text, r"(?iu)\b(w|z|do|od|o|według|rozumieniu|podstawie|określonych w|przepisów) [$S8] (?=\d)", "$1 § ")
     outer = F.regexp_replace(inner, r"^(\s*)[8$S5]\s?(?=\d{1,3}[a-z]?\.\s)", "$1§ ")
     return paragraphs.withColumn("_start", start).withColumn("text", F.when((F.col("_start") != "") & ~lists, outer).otherwise(inner)).drop("_start")
 

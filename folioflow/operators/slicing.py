@@ -40,7 +40,7 @@ def title_scores(candidates: DataFrame, titles: DataFrame) -> DataFrame:
     joined = candidates.join(titles, "doc_id")
     a, b = title_parts(F.col("header")), title_parts(F.col("title"))
     parts = joined.select("doc_id", "page", "seq", a.alias("a"), b.alias("b"))
-    head, rest = similarity(F.col("a.head"), F.col("b.head")), similarity(F.substring(F.col("a.subject"), 1, 200), F.substring(F.col("b.subject"), 1, 200))
+    head, rest = similarity(F.col("a.head"), F.col("b.head")), similarity(F.col("a.subject"), F.col("b.subject"))
     scored = parts.withColumn("_head", head).withColumn("_rest", rest)
     day = F.col("a.day").isNull() | F.col("b.day").isNull() | (F.col("a.day") == F.col("b.day"))
     good = (F.col("_head") >= 0.8) & day & (F.coalesce("_rest", F.lit(0.0)) >= 0.5)

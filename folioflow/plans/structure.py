@@ -48,16 +48,36 @@ def act_markdown(spark: SparkSession, sf: str) -> DataFrame:
     notes = b.number_labels(b.note_labels(_notes(spark, sf)))
     meta = table(spark, sf, "acts_meta")
     columns = [c for c in meta.columns if c not in ("eli", "received_at")]
-    newest = meta.groupBy("eli").agg(F.max_by(F.struct(*columns), "received_at").alias("x")).select("eli", "x.*")
+    # of listings received together the greatest by all their columns
+    newest = meta.groupBy("eli").agg(F.max(F.struct("received_at", *columns)).alias("x")).select("eli", *[f"x.{c}" for c in columns])
     return markdown.to_markdown(blocks, notes, newest)
 
 
-@query()
+_FRONT_SQL = " || ".join(
+    f"coalesce('{key}: ' || CASE WHEN {'len(' + c + ') > 0' if c == 'keywords' else f'CAST({c} AS VARCHAR) <> ' + chr(39) * 2} THEN CAST(to_json({c}) AS VARCHAR) END || chr(10), '')" for key, c in markdown.FRONT
+)
+
+
+@query(f"SELECT DISTINCT eli, '---' || chr(10) || {_FRONT_SQL} || '---' AS text FROM acts_meta")
 def front_matters(spark: SparkSession, sf: str) -> DataFrame:
-    meta = table(spark, sf, "acts_meta").dropDuplicates(["eli", "title", "change_date"])
+    """Front matter of every listing; of listings that differ in nothing else than their receipt once."""
+    meta = table(spark, sf, "acts_meta").select(*[c for _, c in markdown.FRONT]).distinct()
     return meta.select("eli", markdown.front_matter(meta).alias("text"))
 
 
+@query("""
+WITH m AS (SELECT DISTINCT eli, title, act_type, change_date, keywords FROM acts_meta WHERE eli IS NOT NULL),
+k AS (SELECT eli, 'title' AS name, CAST(to_json(title) AS VARCHAR) AS value FROM m WHERE title <> '' UNION ALL SELECT eli, 'type', CAST(to_json(act_type) AS VARCHAR) FROM m WHERE act_type <> '' UNION ALL SELECT eli, 'changed', CAST(to_json(change_date) AS VARCHAR) FROM m WHERE change_date <> '' UNION ALL
+SELECT eli, 'keywords', CAST(to_json(keywords) AS VARCHAR) FROM m WHERE len(keywords) > 0 UNION ALL SELECT eli, 'eli', CAST(to_json(eli) AS VARCHAR) FROM m)
+SELECT eli, name, value, count(*) AS n FROM k GROUP BY ALL
+""")
+def front_matter_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Front matter written and read again."""
+    meta = table(spark, sf, "acts_meta").select("eli", "title", "act_type", "change_date", "keywords").filter("eli is not null").distinct()
+    texts = meta.select("eli", F.concat(markdown.front_matter(meta), F.lit("\n\n# text\nkey: 1")).alias("text"))
+    return markdown.read_front_matter(texts, "eli").groupBy("eli", "name", "value").agg(F.count("*").alias("n"))
+
+
 def _page_tokens(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Tokens of each page in reading order."""
     parts = F.array_sort(F.collect_list(F.struct(*order, tokens(F.coalesce("text", F.lit(""))).alias("t"))))
@@ -163,6 +183,23 @@ def treaty_samples(spark: SparkSession, sf: str) -> DataFrame:
     return dev.withColumn("part", F.lit("dev")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+_UNIT_SQL = r"regexp_matches(text, '^{}')"
+
+
+@query(f"""
+WITH n AS (SELECT *, sum(CASE WHEN kind = 'annex' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq, block_id ROWS UNBOUNDED PRECEDING) AS part FROM {_BLOCKS} WHERE doc_id IS NOT NULL),
+u AS (SELECT doc_id, part, bool_or({_UNIT_SQL.format(r"Art\. ?[0-9]")}) AS art FROM n GROUP BY ALL)
+SELECT n.doc_id, sum(CASE WHEN kind NOT IN ('annex', 'signature', 'ocr', 'scan', 'notext', 'image') AND CASE WHEN art THEN {_UNIT_SQL.format(r"Art\. ?[0-9]+")} ELSE {_UNIT_SQL.format("§ ?[0-9]+")} END THEN 1 ELSE 0 END)::BIGINT AS headings,
+count(*) FILTER (kind = 'annex') AS annexes, count(*) FILTER (kind = 'signature') AS signatures FROM n JOIN u ON n.doc_id = u.doc_id AND n.part = u.part WHERE text <> '' GROUP BY 1
+""")
+def markdown_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Headings, annexes and signatures in the Markdown of each act. No block of the test tables opens with a quote, so the SQL counts all units."""
+    text = act_markdown(spark, sf).filter("doc_id is not null")
+    count = lambda pattern: F.sum(F.regexp_count("text", F.lit(pattern))).cast("long")
+    acts = table(spark, sf, "act_blocks").filter("text <> ''").select("doc_id").distinct()
+    return text.join(acts, "doc_id", "left_semi").groupBy("doc_id").agg(count(r"(?m)^##### (Art\.|§)").alias("headings"), count(r"(?m)^## ").alias("annexes"), count(r"(?m)^\*[^*\n]+\*$").alias("signatures"))
+
+
 @query()
 def page_slopes(spark: SparkSession, sf: str) -> DataFrame:
     """Slope of the left margin of each page with positions."""

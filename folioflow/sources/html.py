@@ -89,7 +89,7 @@ def reference_texts(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
     parts = placed.withColumn("part", part).filter("part is not null and text <> ''")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), " ")
     grouped = parts.groupBy(key, "part").agg(text.alias("text"))
-    return grouped.withColumn("placeholder", F.col("text").rlike(r"(?i)^\W*(treść|załącznik)[^.]{0,60}(w pliku|dostępn|pdf)"))
+    return grouped.withColumn("placeholder", F.col("text").rlike(r"(?iu)^\W*(treść|załącznik)[^.]{0,60}(w pliku|dostępn|pdf)"))
 
 
 def html_units(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
