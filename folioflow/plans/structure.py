@@ -200,13 +200,26 @@ def markdown_marks(spark: SparkSession, sf: str) -> DataFrame:
     return text.join(acts, "doc_id", "left_semi").groupBy("doc_id").agg(count(r"(?m)^##### (Art\.|§)").alias("headings"), count(r"(?m)^## ").alias("annexes"), count(r"(?m)^\*[^*\n]+\*$").alias("signatures"))
 
 
-@query()
+@query(f"""
+WITH l AS (SELECT doc_id, page, x0, y_top AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY y_top, x0, line_id) AS k FROM {_LINES} WHERE y_bottom > 0),
+s AS (SELECT a.doc_id, a.page, median((b.x0 - a.x0) / (b.t - a.t)) AS m, count(*) AS n FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.page = b.page AND a.k < b.k AND b.t - a.t > 200 GROUP BY ALL)
+SELECT p.doc_id, p.page, CASE WHEN n >= 10 AND abs(m) <= 0.05 THEN m ELSE 0 END AS slope FROM (SELECT DISTINCT doc_id, page FROM l) p LEFT JOIN s ON p.doc_id = s.doc_id AND p.page = s.page
+""")
 def page_slopes(spark: SparkSession, sf: str) -> DataFrame:
     """Slope of the left margin of each page with positions."""
     return reading.deskew_slope(_lines(spark, sf).filter("y_bottom > 0").select("doc_id", "page", "x0", F.col("y_top").alias("top")))
 
 
-@query()
+_BARE = "translate({}, 'ąćęłńóśżź', 'acelnoszz')"
+
+
+@query(f"""
+WITH w AS (SELECT DISTINCT unnest({_TOKENS.format("p")}) AS word FROM (SELECT unnest(paragraphs) AS p FROM ocr_pages)), k AS (SELECT t AS word FROM (SELECT unnest({_TOKENS.format("text")}) AS t FROM act_lines WHERE mark = '') GROUP BY 1 HAVING count(*) >= 3),
+u AS (SELECT word FROM w WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM k)),
+j AS (SELECT u.word, k.word AS t, list_filter(range(1, length(u.word) + 1), lambda i: substr(u.word, i, 1) <> substr(k.word, i, 1)) AS d FROM u JOIN k ON {_BARE.format("u.word")} = {_BARE.format("k.word")} AND length(u.word) = length(k.word)),
+c AS (SELECT word, min(t) AS repaired FROM j WHERE len(d) BETWEEN 1 AND 2 AND len(list_filter(d, lambda i: substr(word, i, 1) <> {_BARE.format("substr(t, i, 1)")})) = 0 GROUP BY word HAVING count(*) = 1)
+SELECT * FROM c UNION ALL SELECT word, left(word, 1) || ' ' || substr(word, 2) FROM u WHERE length(word) >= 5 AND left(word, 1) IN ('a', 'i', 'o', 'u', 'w', 'z') AND substr(word, 2) IN (SELECT word FROM k) AND word NOT IN (SELECT word FROM c)
+""")
 def word_repairs(spark: SparkSession, sf: str) -> DataFrame:
     """Unknown words of read pages with their lost marks; the dictionary is that of the text-layer lines."""
     words = table(spark, sf, "ocr_pages").select(F.explode("paragraphs").alias("p")).select(F.explode(tokens(F.col("p"))).alias("word"))
@@ -214,7 +227,12 @@ def word_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return reading.repair_words(words, known.select("word"))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT doc_id, page, page_id, unnest(paragraphs) AS text, generate_subscripts(paragraphs, 1) - 1 AS seq FROM {_PAGES}),
+q AS (SELECT *, try_cast(nullif(regexp_extract(text, '^\\s*([0-9]+)\\.?\\s', 1), '') AS INT) AS n, regexp_extract(text, '^\\s*([8$S5])\\s?([0-9]{{1,3}}[a-z]?)\\.\\s', 1) AS st FROM p WHERE text <> ''),
+r AS (SELECT *, lag(n) OVER (PARTITION BY doc_id, page ORDER BY seq, page_id) AS before FROM q), i AS (SELECT *, regexp_replace(text, '(?i)\\b(w|z|do|od|o|według|rozumieniu|podstawie|określonych w|przepisów) [$S8] ([0-9])', '\\1 § \\2', 'g') AS t FROM r)
+SELECT page_id, seq::INT AS seq, CASE WHEN st <> '' AND NOT (st IN ('8', '5') AND coalesce(before, -1) = try_cast(st AS INT) - 1) THEN regexp_replace(t, '^(\\s*)[8$S5]\\s?([0-9]{{1,3}}[a-z]?\\.\\s)', '\\1§ \\2') ELSE t END AS text FROM i
+""")
 def section_sign_repairs(spark: SparkSession, sf: str) -> DataFrame:
     paras = _pages(spark, sf).select("doc_id", "page", "page_id", F.posexplode("paragraphs").alias("seq", "text")).filter("text <> ''")
     return reading.section_signs(paras).select("page_id", "seq", "text")
