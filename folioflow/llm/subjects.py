@@ -290,7 +290,9 @@ def _tree_sum(df: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.nd
         yield from rows(total)
 
     schema = "part int, at long, numbers binary"
-    out, n = df.mapInArrow(first, schema), df.rdd.getNumPartitions()
+    # a whole vector leaves each task, so a few tasks for each core take all partitions
+    n = min(df.rdd.getNumPartitions(), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    out = df.coalesce(n).mapInArrow(first, schema)
     while n > 1:
         n = -(-n // 32)
         out = out.repartition(n).mapInArrow(add, schema)

@@ -25,35 +25,35 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
-#: A run of letters, digits, signs or blanks longer than this is counted in stretches of this many characters.
-LONGEST = 2048
-#: Texts up to so many characters are counted exactly whatever they hold.
-EXACT = 40_000
-_run = regex.compile(rf"\S{{{LONGEST}}}|\s{{{LONGEST}}}")
+#: Runs of blanks from this length on overflow the tokenizer's own search for divisions; these are found by another engine.
+LONG_BLANKS = 10_000
+_blanks = regex.compile(rf"\s{{{LONG_BLANKS}}}")
 
 
 def count(enc: tiktoken.Encoding, text: str) -> int:
-    """Tokens of a text. Runs without any division would cost the square of their length; they are counted in stretches."""
-    if len(text) < EXACT or not _run.search(text):
+    """Tokens of a text, whatever it holds."""
+    if len(text) < LONG_BLANKS or not _blanks.search(text):
         return len(enc.encode_ordinary(text))
     return sum(n for *_, n in _divisions(enc, text))
 
 
 def _divisions(enc: tiktoken.Encoding, text: str):
-    """(start, end, tokens) of the tokenizer's divisions, overlong ones in stretches."""
+    """(start, end, tokens) of the tokenizer's divisions."""
     for m in _division.finditer(text):
         a, b = m.span()
-        while b - a > LONGEST:
-            yield a, a + LONGEST, len(enc.encode_ordinary(text[a : a + LONGEST]))
-            a += LONGEST
-        yield a, b, len(enc.encode_ordinary(text[a:b]))
+        yield a, b, _size(enc, text[a:b])
+
+
+def _size(enc: tiktoken.Encoding, division: str) -> int:
+    """Tokens of one division or a part of one."""
+    return len(enc._encode_single_piece(division)) if len(division) >= LONG_BLANKS and division.isspace() else len(enc.encode_ordinary(division))
 
 
 def cut(enc: tiktoken.Encoding, text: str, capacity: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of consecutive stretches of text, each of at most capacity tokens.
 
     Cuts stand between the tokenizer's own divisions, where both sides keep their tokens; only a
-    division that exceeds the capacity by itself, or that is longer than LONGEST characters, is cut inside.
+    division that exceeds the capacity by itself is cut inside.
     """
     total = count(enc, text)
     if total <= capacity:
@@ -71,15 +71,12 @@ def cut(enc: tiktoken.Encoding, text: str, capacity: int) -> list[tuple[int, int
             while at < b:
                 # a character has at most four bytes, so four tokens
                 stop = min(b, at + max(1, capacity // 4))
-                while stop < b and len(enc.encode_ordinary(text[at : stop + max(1, capacity // 8)])) <= capacity:
+                while stop < b and _size(enc, text[at : stop + max(1, capacity // 8)]) <= capacity:
                     stop = min(b, stop + max(1, capacity // 8))
-                out.append((at, stop, len(enc.encode_ordinary(text[at:stop]))))
+                out.append((at, stop, _size(enc, text[at:stop])))
                 at = stop
             start, held = b, 0
         end = b
     if held:
         out.append((start, end, held))
-    if not _run.search(text):
-        return out
-    # tokens over the edges of stretches: counted again as the pieces stand
-    return [(a, b, len(enc.encode_ordinary(text[a:b]))) for a, b, _ in out]
+    return out
