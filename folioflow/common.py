@@ -36,8 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def configure(spark: SparkSession) -> None:
+    """Settings that results rest on. This version of Spark takes a union of equally partitioned tables for partitioned, although each of
+    them is coalesced by itself at run time; an aggregation over the union then gives rows of one key twice."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, so that it need not be installed on them."""
+    """Give the executors this package, once per application, so that it need not be installed on them, and set what results rest on."""
+    configure(spark)
     context = spark.sparkContext
     if getattr(context, "_folioflow_shipped", False):
         return

@@ -15,5 +15,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from folioflow.common import configure
+
+    configure(session)
     yield session
     session.stop()
