@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 #: Frequent words of each language, languages in order of preference at ties.
 STOP_WORDS = {
-    "pl": "się oraz nie jest przez dla lub jeżeli które których pod przy w z na do i",
-    "en": "the of and to in is for shall by with be or that not from this",
-    "de": "der die das und ist von mit für nicht den im zu auf dem des sie über",
-    "fr": "le la les et des du que pour dans une est sur par aux en ou",
-    "es": "el los las y del por con una es para como se lo",
-    "it": "il gli di che non per una sono della nel con",
+    "pl": "i w z na się do że nie jest oraz lub przez dla od o który która które być może jego ich zgodnie art",
+    "en": "the of and to in a is that for by or be shall as with this any on which are from",
+    "fr": "le la les de des et du un une est en par pour dans que qui sur au aux ou être",
+    "de": "der die das und zu den des von mit ist im nicht auf für eine ein dem sich oder",
+    "pt": "o a os as de do da dos das e em um uma que para por com não ou no na se ao",
+    "es": "el la los las de del y en un una que por para con no o se al lo sus",
+    "sv": "och att det som en på är av för med till den har de inte om ett eller",
+    "it": "il di che e la per un in non una sono della del le si alla dei gli",
+    "el": "και το της του να των τα η ο με σε για που την στο οι από",
+    # beyond those: languages of treaties and neighbours
     "ru": "и в не на что с по как для от",
     "uk": "і в не на що з по як для від",
     "cs": "se je na že být který podle nebo pro před",

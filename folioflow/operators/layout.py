@@ -17,8 +17,8 @@ ISSUE_HEADER = r"(?i)^(\d+ )?(dziennik urz|biuletyn obw|monitor)|(?i)^nr\.? \d+
 
 
 def once(lines: DataFrame) -> DataFrame:
-    """Rows delivered twice once."""
-    return lines.dropDuplicates(["line_id"])
+    """Rows delivered twice once; rows without an id are told apart by their place and text."""
+    return lines.dropDuplicates(["line_id", "doc_id", "seq", "text"])
 
 
 def reading_order(lines: DataFrame) -> DataFrame:

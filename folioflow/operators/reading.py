@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page"]
 
 
+#: Words of units that a number follows, with or without a point.
+UNIT_WORDS = (
+    "art ust pkt poz nr lit rozdz par str ustęp ustępie ustępu ustępach artykuł artykułu artykule punkt punkcie punktu "
+    "załącznik załącznika załączniku rozdział rozdziału część części article paragraph section"
+).split()
+
+
 def lone_one(text: Column) -> Column:
-    """A vertical bar by itself read as 1 behind a unit word or before 'i' and a number."""
-    after = F.regexp_replace(text, r"(?<=\b(?:art|ust|pkt|poz|nr)\.? |§ )\|(?=[\s.,;)]|$)", "1")
-    return F.regexp_replace(after, r"(?<=^|\s)\|(?= i \d)", "1")
+    """A vertical bar by itself read as 1 behind a unit word, or before a comma, 'i', 'lub' or a dash and a number."""
+    behind = "|".join(UNIT_WORDS)
+    after = F.regexp_replace(text, rf"(?iu)(?<=\b(?:{behind})\.? |§ )\|(?=$|[\s,.;:)–-])", "1")
+    return F.regexp_replace(after, r"(?<=\s)\|(?=(?:,| i| lub| oraz| and| or| [-–]) \d)", "1")
 
 
 def usable(words: str = "words", confidence: str = "confidence") -> Column:
@@ -157,12 +165,12 @@ def column_order(lines: DataFrame, split: DataFrame) -> DataFrame:
 
 
 def join_split_rows(lines: DataFrame) -> DataFrame:
-    """Pieces of one printed row that stand closer than 0.6 of the page's lower-quartile gap between pieces become one line."""
+    """Pieces of one printed row that stand closer than 0.6 of the page's lower-quartile gap between pieces become one line; a page with fewer
+    than five gaps stays as it is."""
     order = Window.partitionBy(*PAGE).orderBy("_row", "x0")
     rows = lines.withColumn("_row", F.round((F.col("top") + F.col("bottom")) / 2 / F.greatest(F.col("bottom") - F.col("top"), F.lit(1))))
-    # the quartile is one of the gaps, as it is wherever a quartile is taken here
     gaps = rows.withColumn("_gap", F.when(F.lag("_row").over(order) == F.col("_row"), F.col("x0") - F.lag("x1").over(order)))
-    quartile = gaps.filter("_gap > 0").groupBy(*PAGE).agg(F.get(F.sort_array(F.collect_list("_gap")), F.floor(F.count("_gap") / 4).cast("int")).alias("_q"))
+    quartile = gaps.filter("_gap > 0").groupBy(*PAGE).agg(F.when(F.count("_gap") >= 5, F.get(F.sort_array(F.collect_list("_gap")), F.floor(F.count("_gap") / 4).cast("int"))).alias("_q"))
     joined = gaps.join(quartile, PAGE, "left").withColumn("_new", F.coalesce(~(F.col("_gap") < 0.6 * F.col("_q")), F.lit(True)).cast("int"))
     numbered = joined.withColumn("_line", F.sum("_new").over(order))
     parts = F.array_sort(F.collect_list(F.struct("x0", "text")))

@@ -37,8 +37,9 @@ def _metadata(item: DataFrame) -> DataFrame:
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalog file. An empty cell is NULL: 'never tried' stays apart from 0. The last row of an act counts."""
     raw = spark.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in CATALOG), quote='"', escape='"', multiLine=True)
-    typed = raw.select(*[(F.col(c).try_cast("int") if c in NUMBERS else F.nullif(F.col(c), F.lit(""))).alias(c) for c in CATALOG])
-    placed = typed.withColumn("_at", F.monotonically_increasing_id())
+    typed = raw.select("_metadata", *[(F.col(c).try_cast("int") if c in NUMBERS else F.nullif(F.col(c), F.lit(""))).alias(c) for c in CATALOG])
+    # files by their names; such a file is read by one task, so ids ascend in it
+    placed = typed.withColumn("_at", F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id()))
     rest = [c for c in CATALOG if c != "eli"]
     return placed.groupBy("eli").agg(F.max_by(F.struct(*rest), "_at").alias("x")).select("eli", "x.*")
 

@@ -6,7 +6,7 @@ from folioflow.operators import reading as o
 
 def test_repairs_in_text(spark):
     df = spark.createDataFrame([("art. | ust. 2",), ("Poz. |, |",), ("a | b",), ("| i 2",)], "t string").select(o.lone_one(F.col("t")).alias("t"))
-    assert [r.t for r in df.collect()] == ["art. 1 ust. 2", "Poz. |, |", "a | b", "1 i 2"]
+    assert [r.t for r in df.collect()] == ["art. 1 ust. 2", "Poz. 1, |", "a | b", "| i 2"]
     paras = [("d", 1, 1, "8 5. Rada"), ("d", 1, 2, "7. lista"), ("d", 1, 3, "8 9. dalej"), ("d", 1, 4, "w rozumieniu $ 5 ustawy")]
     p = spark.createDataFrame(paras, "doc_id string, page int, seq int, text string")
     assert [r.text for r in o.section_signs(p).orderBy("seq").collect()] == ["§ 5. Rada", "7. lista", "8 9. dalej", "w rozumieniu § 5 ustawy"]
@@ -50,8 +50,11 @@ def test_columns(spark):
     assert [r.text for r in o.column_order(df, split).orderBy("seq").collect()] == ["top"] + [f"l{k}" for k in range(8)] + [f"r{k}" for k in range(8)]
     assert o.column_split(df.limit(5)).count() == 0
     assert [r.text for r in o.row_order(df.filter("top < 40 and top >= 0")).orderBy("seq").collect()] == ["l0", "r0", "l1", "r1"]
-    pieces = spark.createDataFrame([("d", 1, 0.0, 10.0, 0.0, 10.0, "a"), ("d", 1, 11.0, 20.0, 0.0, 10.0, "b"), ("d", 1, 80.0, 90.0, 0.0, 10.0, "c"), ("d", 1, 0.0, 10.0, 20.0, 30.0, "d"), ("d", 1, 60.0, 70.0, 20.0, 30.0, "e")], "doc_id string, page int, x0 double, x1 double, top double, bottom double, text string")
-    assert {r.text for r in o.join_split_rows(pieces).collect()} == {"a b", "c", "d", "e"}
+    pieces = [("d", 1, 0.0, 10.0, 0.0, 10.0, "a"), ("d", 1, 11.0, 20.0, 0.0, 10.0, "b"), ("d", 1, 80.0, 90.0, 0.0, 10.0, "c"), ("d", 1, 0.0, 10.0, 20.0, 30.0, "d"), ("d", 1, 60.0, 70.0, 20.0, 30.0, "e")]
+    assert o.join_split_rows(spark.createDataFrame(pieces, "doc_id string, page int, x0 double, x1 double, top double, bottom double, text string")).count() == 5
+    pieces += [("d", 1, x, x + 10, 20.0 * k, 20.0 * k + 10, f"{s}{k}") for k in range(2, 6) for s, x in (("l", 0.0), ("r", 60.0))]
+    pieces = spark.createDataFrame(pieces, "doc_id string, page int, x0 double, x1 double, top double, bottom double, text string")
+    assert {r.text for r in o.join_split_rows(pieces).collect()} == {"a b", "c", "d", "e", *[f"{s}{k}" for k in range(2, 6) for s in "lr"]}
 
 
 def test_slope(spark):
