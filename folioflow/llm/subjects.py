@@ -74,6 +74,19 @@ class _Letters(dict):
         return self[code]
 
 
+class _Tokens(dict):
+    """Token as it stands between blanks -> (feature, language) of each word in it."""
+
+    def __init__(self, words: _Words, letters: _Letters) -> None:
+        self.words, self.letters = words, letters
+
+    def __missing__(self, token: str) -> tuple[tuple[int, int], ...]:
+        found = tuple([self.words[w] for w in token.lower().translate(self.letters).split()])
+        if len(self) < 1_000_000 and len(token) < 40:
+            self[token] = found
+        return found
+
+
 def _body(text: str) -> str:
     """Text without heading lines, words cut at the end of a line closed."""
     if "#" in text:
@@ -83,16 +96,17 @@ def _body(text: str) -> str:
     return text
 
 
-def _features(text: str, words: dict, letters: dict) -> tuple[list[int], list[list[int]]]:
+def _features(text: str, tokens: _Tokens) -> tuple[list[int], list[list[int]]]:
     """Function words of each language and the distinct features of each sentence."""
     counts = [0] * len(LANGUAGES)
     out = []
     for sentence in _BREAK.split(_body(text)):
-        own = [words[w] for w in sentence.lower().translate(letters).split()]
-        for _, code in own:
-            if code >= 0:
-                counts[code] += 1
-        features = {f for f, _ in own}
+        features = set()
+        for token in sentence.split():
+            for feature, code in tokens[token]:
+                features.add(feature)
+                if code >= 0:
+                    counts[code] += 1
         features.discard(-1)
         if features:
             out.append(list(features))
@@ -107,7 +121,7 @@ def _leader(counts: list[int]) -> tuple[int, int]:
 
 def sentence_features(text: str, words: dict, letters: dict) -> tuple[int, list[list[int]]]:
     """Language code (-1: the function words don't tell) and the distinct features of each sentence; heading lines are left out."""
-    counts, out = _features(text, words, letters)
+    counts, out = _features(text, _Tokens(words, letters))
     return _leader(counts)[0], out
 
 
@@ -125,10 +139,11 @@ def _tokenise(df: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, letters = _Words(), _Letters()
+        tokens = _Tokens(words, letters)
         for batch in batches:
             lang, ids, sizes, hits = [], [], [], []
             for text in batch.column(1).to_pylist():
-                counts, sentences = _features(text, words, letters)
+                counts, sentences = _features(text, tokens)
                 code, ahead = _leader(counts)
                 if ahead < _CLEAR:
                     found = [c for w in _body(text).lower().translate(letters).split() for c in words.shared.get(w, ())]
