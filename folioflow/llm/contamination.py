@@ -52,6 +52,24 @@ def normalise(text: str) -> list[str]:
     return _BREAK.sub(_joined, text).translate(_FOLD).split()
 
 
+class _Numbers(dict):
+    """Token as it stands between blanks -> numbers of its normalised words, 0 for words of no item."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        get = self.vocabulary.get
+        found = tuple([get(w, 0) for w in token.translate(_FOLD).split()])
+        if len(self) < 1_000_000 and len(token) < 40:
+            self[token] = found
+        return found
+
+    def sequence(self, text: str) -> tuple[int, ...]:
+        """The numbers of normalise(text)."""
+        return tuple([n for token in _BREAK.sub(_joined, text).split() for n in self[token]])
+
+
 def _joined(m: re.Match) -> str:
     # a hyphen, blanks and the next word in the same line: a suspended compound, not a word cut at a line end
     s = m.group()
@@ -145,13 +163,13 @@ class Items:
         if places:
             self.automaton.make_automaton()
         self.empty = not places
+        self.numbers = _Numbers(self.vocabulary)
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int, int]]:
         """(item, item words covered, edits, start, end) of each item that the text leaks; offsets of the original text."""
         if self.empty:
             return []
-        get = self.vocabulary.get
-        seq = tuple([get(w, 0) for w in normalise(text)])
+        seq = self.numbers.sequence(text)
         if not seq:
             return []
         hits: dict[int, list[tuple[int, int]]] = {}

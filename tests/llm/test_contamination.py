@@ -1,5 +1,6 @@
 import random
 
+from folioflow.llm import contamination as c
 from folioflow.llm.contamination import Items, find_leaks, normalise, word_offsets
 
 
@@ -70,3 +71,13 @@ def test_frame(spark):
     hit = find_leaks(d, i).filter("doc_id = 1").first()
     assert docs[0][1][hit.start : hit.end] == noisy
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
+
+
+def test_numbers_are_those_of_normalised_words():
+    rng = random.Random(9)
+    pieces = ["Ąbc", "def-", "-\n ", "x\u200by", "5½", "\u00a0", "¬\n", "e\u0301", "ﬁ", ".", " ", "\n", "słowo", "ŁÓDŹ", "\u00ad", "a" * 50]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))
+        words = c.normalise(text)
+        numbers = c._Numbers({w: i + 1 for i, w in enumerate(dict.fromkeys(words))})
+        assert numbers.sequence(text) == tuple(numbers.vocabulary[w] for w in words)
